@@ -22,7 +22,21 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_token_counts": op7_token_counts,
+    "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}

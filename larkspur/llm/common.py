@@ -41,6 +41,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` with the scheme of its file system, for readers and writers outside Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet into the shared scratch folder and read it again."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, quality_rules
+from larkspur.llm import chat, quality_rules, warc
 from larkspur.llm.common import scratch_dir, table
 
 
@@ -60,6 +60,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch_dir(spark)
+    folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, manifest).drop("target_uri")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
@@ -68,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_flac": op8_flac,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op10_warc": warc.ORACLE,
 }

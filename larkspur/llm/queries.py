@@ -17,6 +17,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import cotraining
+
+    documents = table(spark, sf_dir, "documents")
+    model = cotraining.fit(documents, table(spark, sf_dir, "labels"))
+    return cotraining.score(documents, model)
+
+
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import ngram_lm
+
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm import simhash
 
@@ -67,6 +81,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
+    "op2_ngram_lm": op2_ngram_lm,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,

@@ -63,6 +63,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
         n = batch.num_rows
         if n == 0:
             continue
+        if col.buffers()[1] is None:  # nothing but nulls
+            yield batch
+            continue
         width = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
         offsets = np.frombuffer(col.buffers()[1], width)[col.offset : col.offset + n + 1].astype(np.int64)
         offsets = offsets - offsets[0]

@@ -58,9 +58,9 @@ def branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
             break
         levels.append(reach)
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("total").alias("total2"))
-        state = state.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-        ).checkpoint()
+        # Only messages that still have an ancestor ahead take part; all others keep what they have.
+        moved = state.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("total") + F.col("total2")).alias("total"))
+        state = moved.unionByName(state.where("up is null")).checkpoint()
     rooted = state.where("up is null").select("tree", "node", F.col("hops").alias("depth"), "total")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")

@@ -53,7 +53,7 @@ class Words:
     lower-cased letters; new ones are encoded together and told apart by the word-end ids.
     """
 
-    LIMIT = 1_300_000
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -179,7 +179,7 @@ def fit_views(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.n
     return Model(tuple(views), tuple(calibration), Logistic.fit(own, y[held].astype(float)), prior, tuple(exchanged))
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_unlabelled: int = 20_000, rounds: int = 5, per_round: int = 1000, confidence: float = 0.95, id_col: str = "doc_id", label_col: str = "quality", batch_bytes: int = 4 << 20) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_unlabelled: int = 20_000, rounds: int = 5, per_round: int = 1000, confidence: float = 0.95, id_col: str = "doc_id", label_col: str = "quality", batch_bytes: int = 1 << 20) -> Model:
     """Fit on bounded samples of labelled and unlabelled documents (`labels` has id and 0/1 label)."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     ids = documents.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
@@ -202,7 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 20_000, mo
     return fit_views(text[own], meta[own], y[own], text[~own], meta[~own], hold[own], rounds, per_round, confidence)
 
 
-def score(documents: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", batch_bytes: int = 4 << 20) -> DataFrame:
+def score(documents: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", batch_bytes: int = 1 << 20) -> DataFrame:
     """(id, p_text, p_metadata, score, keep) of every row: probabilities of good quality; `keep` is score >= `threshold`."""
     names = [id_col, "p_text", "p_metadata", "score", "keep"]
 
@@ -216,7 +216,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5, id_col: st
     return _inputs(documents, id_col).mapInArrow(run, f"{id_col} long, p_text double, p_metadata double, score double, keep boolean")
 
 
-def filtered(documents: DataFrame, model: Model, threshold: float = 0.5, batch_bytes: int = 4 << 20) -> DataFrame:
+def filtered(documents: DataFrame, model: Model, threshold: float = 0.5, batch_bytes: int = 1 << 20) -> DataFrame:
     """The rows of `documents` (doc_id, text, lang, source, n_chars and any others) that `score` would keep, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1 @@
+"""No streaming operators: the dialect and the operator layer are batch only."""

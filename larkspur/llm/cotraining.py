@@ -130,14 +130,14 @@ class Model:
         return tuple(1 / (1 + np.exp(-x)) for x in logits)
 
 
-def _featured(df: DataFrame, id_col: str, batch_bytes: int) -> DataFrame:
+def _featured(inputs: DataFrame, batch_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", batch_bytes):
             text = text_features(b.column("_text").to_pylist())
             meta = metadata_features(*(b.column(c).to_pylist() for c in ("_source", "_lang", "_chars")))
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["_id", "text", "meta"])
 
-    return _inputs(df, id_col).mapInArrow(run, "_id long, text binary, meta binary")
+    return inputs.mapInArrow(run, "_id long, text binary, meta binary")
 
 
 def _inputs(df: DataFrame, id_col: str) -> DataFrame:
@@ -187,8 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 20_000, mo
     order = (F.xxhash64("_id"), F.col("_id"))
     picked = seen.where("y is not null").orderBy(*order).limit(most_labelled).unionByName(seen.where("y is null").orderBy(*order).limit(most_unlabelled))
     # At most most_labelled + most_unlabelled ids, so the broadcast is bounded.
-    chosen = documents.join(F.broadcast(picked.select("_id")), F.col(id_col).cast("long") == F.col("_id"), "left_semi")
-    rows = _featured(chosen, id_col, batch_bytes).groupBy("_id").agg(F.min(F.struct("text", "meta")).alias("f")).select("_id", "f.*").join(F.broadcast(picked), "_id").toArrow()
+    chosen = _inputs(documents, id_col).join(F.broadcast(picked.select("_id")), "_id", "left_semi")
+    rows = _featured(chosen, batch_bytes).groupBy("_id").agg(F.min(F.struct("text", "meta")).alias("f")).select("_id", "f.*").join(F.broadcast(picked), "_id").toArrow()
     order = np.argsort(rows.column("_id").to_numpy())
     rows = rows.take(pa.array(order))
 
@@ -225,5 +225,4 @@ def filtered(documents: DataFrame, model: Model, threshold: float = 0.5, batch_b
             meta = metadata_features(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
             yield b.filter(pa.array(model.scores(text, meta)[2] >= threshold))
 
-    whole = documents.withColumn("text", F.col("text"))
-    return whole.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

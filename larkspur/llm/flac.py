@@ -378,7 +378,7 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
 
 def read_streams(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """(payload, sample offsets of its blocks) of each stream; every checksum is verified."""
-    starts, sizes, numbers, counts, sums, points_of, base = [], [], [], [], [], [], 0
+    starts, sizes, numbers, sums, points_of, base = [], [], [], [], [], 0
     for s in streams:
         if s[:4] != b"fLaC" or s[4] & 0x7F:
             raise ValueError("no FLAC stream")
@@ -395,21 +395,25 @@ def read_streams(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
         starts.append(offset + base)
         sizes.append(np.diff(offset, append=len(s)))
         numbers.append(np.arange(len(points)))
-        counts.append(len(points))
         sums.append((int.from_bytes(info[10:18]) & (1 << 36) - 1, info[18:34]))
-        points_of.append(points["sample"].astype(np.int64))
+        points_of.append(points)
         base += len(s)
     data = np.frombuffer(b"".join(streams), np.uint8)
     start, size, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, numbers))
-    runs = [decode_frames(data, start[i : i + RUN], size[i : i + RUN], number[i : i + RUN])[0] for i in range(0, len(start), RUN)]
-    samples = np.concatenate(runs).astype(np.int8) if runs else np.zeros(0, np.int8)
-    out, at = [], 0
+    runs = [decode_frames(data, start[i : i + RUN], size[i : i + RUN], number[i : i + RUN]) for i in range(0, len(start), RUN)]
+    samples = np.concatenate([x for x, _ in runs]).astype(np.int8) if runs else np.zeros(0, np.int8)
+    blocks = np.concatenate([np.diff(edges) for _, edges in runs]) if runs else np.zeros(0, np.int64)
+    out, at, frame = [], 0, 0
     payload = (samples.view(np.uint8) ^ 0x80).tobytes()
     for (total, digest), points in zip(sums, points_of):
         if hashlib.md5(samples[at : at + total]).digest() != digest:
             raise ValueError("FLAC stream: MD5 of the samples does not match")
-        out.append((payload[at : at + total], points))
-        at += total
+        own = blocks[frame : frame + len(points)]
+        offsets = np.cumsum(own) - own
+        if (points["count"] != own).any() or (points["sample"] != offsets).any():
+            raise ValueError("FLAC stream: the seek table does not match the frames")
+        out.append((payload[at : at + total], offsets))
+        at, frame = at + total, frame + len(points)
     if at != len(samples):
         raise ValueError("FLAC stream: sample count does not match")
     return out

@@ -119,15 +119,42 @@ def _header_bytes(data: memoryview, at: int) -> bytes:
     return bytes(data[at : at + 5 + coded + (2 if data[at + 2] >> 4 == 0b0111 else 0)])
 
 
-def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
-    for j in range(width):
-        bits[at + j] = (value >> (width - 1 - j)) & 1
+class _Bits:
+    """Gathers fields of up to 17 bits at given bit positions; fields never overlap, so bytes are plain sums."""
 
+    def __init__(self, n_bytes: int) -> None:
+        self.sums = np.zeros(n_bytes + 2, np.int32)
 
-def _get(bits: np.ndarray, at: np.ndarray, width: int, signed: bool = False) -> np.ndarray:
-    out = np.zeros(len(at), np.int64)
-    for j in range(width):
-        out = out << 1 | bits[at + j]
+    def put(self, at: np.ndarray, value: np.ndarray, width: np.ndarray | int) -> None:
+        """Positions must not decrease."""
+        if not len(at):
+            return
+        window = (value << (24 - (at & 7) - width)).astype(np.int32)
+        byte = at >> 3
+        edges = np.flatnonzero(np.diff(byte, prepend=-1))
+        where = byte[edges]
+        for i, part in enumerate((window >> 16, window >> 8 & 0xFF, window & 0xFF)):
+            self.sums[where + i] += np.add.reduceat(part, edges)
+
+    def data(self) -> np.ndarray:
+        return self.sums[:-2].astype(np.uint8)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 24 bits from each byte on."""
+    wide = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int32)
+    return np.append(wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:], np.int32(0))
+
+
+@lru_cache(1)
+def _leading_zeros() -> np.ndarray:
+    """Zeros in front of the first one in each 16-bit word; 16 for none."""
+    return (16 - np.ceil(np.log2(np.arange(1 << 16) + 1.0))).astype(np.uint8)
+
+
+def _get(words: np.ndarray, at: np.ndarray, width: int, signed: bool = False) -> np.ndarray:
+    """Fields of up to 17 bits at bit positions."""
+    out = ((words[at >> 3] >> (24 - (at & 7) - width)) & ((1 << width) - 1)).astype(np.int64)
     return out - ((out >> (width - 1)) << width) if signed else out
 
 
@@ -200,33 +227,26 @@ def encode_frames(samples: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nu
     frame = header + body + 2
     offsets = np.concatenate([[0], np.cumsum(frame)])
 
-    bits = np.zeros(8 * int(offsets[-1]), np.uint8)
+    bits = _Bits(int(offsets[-1]))
     sub = 8 * (offsets[:-1] + header)
-    _put(bits, sub, kind << 1, 8)
+    bits.put(sub, kind << 1, 8)
     for j in range(ORDER):
         has = np.flatnonzero(order > j)
-        _put(bits, sub[has] + 8 + 8 * j, x[has, j] & 0xFF, 8)
+        bits.put(sub[has] + 8 + 8 * j, x[has, j].astype(np.int64) & 0xFF, 8)
     l = np.flatnonzero(is_lpc)
     at = sub[l] + 8 + 8 * ORDER
-    _put(bits, at, np.full(len(l), PRECISION - 1), 4)
-    _put(bits, at + 4, np.full(len(l), SHIFT), 5)
+    bits.put(at, np.full(len(l), (PRECISION - 1) << 5 | SHIFT), 9)
     for j in range(ORDER):
-        _put(bits, at + 9 + PRECISION * j, lpc[l, j] & ((1 << PRECISION) - 1), PRECISION)
-    _put(bits, sub + lead - 6, np.full(n, PARTITION_ORDER), 6)
+        bits.put(at + 9 + PRECISION * j, lpc[l, j] & ((1 << PRECISION) - 1), PRECISION)
+    bits.put(sub + lead - 6, np.full(n, PARTITION_ORDER), 6)
     before = np.cumsum(code_bits + 4, axis=1) - code_bits - 4
-    cell_at = (sub + lead)[:, None] + before
-    _put(bits, cell_at.ravel(), k, 4)
-    cell_at = cell_at.ravel() + 4
-    # Codes lie one behind the other inside a cell; `cell` never decreases.
-    ends = np.cumsum(length)
-    first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    base = np.concatenate([[0], ends])[first]
-    stop = ends - length - base[cell] + cell_at[cell] + quotient
-    bits[stop] = 1
-    for j in range(int(own_k.max(initial=0))):
-        on = np.flatnonzero((u >> j) & (own_k > j))
-        bits[stop[on] + own_k[on] - j] = 1
-    data = np.packbits(bits)
+    cell_at = ((sub + lead)[:, None] + before).ravel()
+    bits.put(cell_at, k, 4)
+    # Codes lie one behind the other inside a cell, and cells in order, so only gaps between cells have to be added.
+    gap = np.diff(cell_at + 4 - (np.cumsum(code_bits.ravel()) - code_bits.ravel()), prepend=0)
+    ends = np.cumsum(length) + np.repeat(np.cumsum(gap), count)
+    bits.put(ends - own_k - 1, u & ((1 << own_k) - 1) | 1 << own_k, own_k + 1)
+    data = bits.data()
     data[csr_take(offsets[:-1], header)] = np.frombuffer(b"".join(headers), np.uint8)
     crc = crc16_of(data, offsets[:-1], frame - 2)
     data[offsets[1:] - 2], data[offsets[1:] - 1] = crc >> 8, crc & 0xFF
@@ -244,7 +264,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbe
     heads = [_header_bytes(raw, at) for at in starts.tolist()]
     block = np.array([_read_header(h, i) for h, i in zip(heads, numbers.tolist())], np.int64)
     sub = 8 * (starts + np.fromiter(map(len, heads), np.int64, n))
-    bits = np.unpackbits(data)
+    bits, zeros = _words(data), _leading_zeros()
     kind = _get(bits, sub, 8) >> 1
     is_lpc, fixed = kind >= 0b100000, (kind >> 3) == 1
     if not (is_lpc | fixed).all():
@@ -286,10 +306,6 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbe
         edges = np.flatnonzero(np.diff(step[by], prepend=-1))
         for i, group in zip(step[by][edges].tolist(), np.split(rows[by], edges[1:])):
             events.setdefault(i, []).append(group)
-    ones = np.flatnonzero(bits)
-    gaps = np.diff(ones, prepend=-1)
-    following = np.full(len(bits) + 1, len(bits), np.int32)
-    following[: int(ones[-1]) + 1 if len(ones) else 0] = np.repeat(ones, gaps)
     steps = int(count.max(initial=0))
     stop, begin = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int32)
     ks = np.zeros((steps, n), np.uint8)
@@ -302,15 +318,21 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbe
         a = active[i]
         here = pos[:a]
         begin[i, :a] = here
-        found = following[here]
+        zero = zeros[bits[here >> 3] >> (8 - (here & 7)) & 0xFFFF]
+        found = here + zero
+        while zero.max(initial=0) == 16:  # a run of zeros goes on behind the 16 bits
+            far = np.flatnonzero(zero == 16)
+            if (found[far] >> 3 >= len(bits) - 1).any():
+                raise ValueError("FLAC residual: a code does not end")
+            more = zeros[bits[found[far] >> 3] >> (8 - (found[far] & 7)) & 0xFFFF]
+            found[far] += more
+            zero = np.zeros_like(zero)
+            zero[far] = more
         stop[i, :a] = found
         ks[i, :a] = k[:a]
         pos[:a] = found + k[:a] + 1
-    wide = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
-    words = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
-    at = stop + 1
-    own = ks.astype(np.int32)
-    rest = (words[at >> 3].astype(np.int32) >> (24 - (at & 7) - own)) & ((1 << own) - 1)
+    at, own = stop + 1, ks.astype(np.int32)
+    rest = (bits[at >> 3] >> (24 - (at & 7) - own)) & ((1 << own) - 1)
     folded = (stop - begin) << own | rest
     r = np.where(folded & 1, -(folded >> 1) - 1, folded >> 1)
 

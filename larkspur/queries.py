@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,7 +40,7 @@ def dialect(sql: str) -> QueryFn:
 def scratch(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
     """A fresh database with the driver's tables attached, in the shared folder if the session names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/{next(tempfile._get_candidate_names())}-db" if shared else tempfile.mkdtemp(prefix="larkspur-db-")
+    folder = f"{shared.rstrip('/')}/db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="larkspur-db-")
     return database(spark, folder, {n: f"{sf_dir}/{n}.parquet" for n in names})
 
 

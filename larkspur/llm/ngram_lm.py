@@ -1,24 +1,26 @@
-"""Language-model scoring with a weighted backoff automaton of bigrams.
+"""Language-model scoring with a weighted backoff automaton of n-grams (trigrams by default).
 
-States are contexts: the root, the start of a text, and every word of the training texts. A state
-has an arc for each word that followed it in training, and a failure arc to the root, which has an
-arc for every word. With c the training counts, k the prior weight and p the root's probability,
+States are contexts: the root, and every run of up to n - 1 tokens that was followed by something in
+training (the start of a text counts as a token in front of it). A state has an arc for each token
+that followed it in training, and a failure arc to the state of the context without its first token.
+With c the training counts, k the prior weight, v a context and v' its shorter one,
 
     root arc      p(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    state arc     p(w|u) = (c(u,w) + k p(w)) / (c(u) + k)      where c(u,w) > 0
-    failure arc   b(u)   = k / (c(u) + k)
+    state arc     p(w|v) = (c(v,w) + k p(w|v')) / (c(v) + k)      where c(v,w) > 0
+    failure arc   b(v)   = k / (c(v) + k)
 
-so each state's probabilities add up to one (Dirichlet smoothing). A text is traversed once from left
-to right: the state is carried along, the arc's weight is added, and where there is none, the
-failure arc's weight and then the root's.
+so each state's probabilities add up to one (hierarchical Dirichlet smoothing). A text is traversed
+once from left to right. The state in front of a token is the longest context that is a state; the
+weight of the step is that of its arc, or of its failure arc and of the step from there. States
+depend on the tokens before only, so a block's steps are computed as arrays.
 
 Neither texts nor counts are gathered anywhere. Texts are tokenised into blocks of bounded size; a
 block asks for the counts of its own distinct n-grams in hash buckets of bounded size; a bucket adds
 up all blocks' counts and answers each block in the order it asked. Frequent words and hot sources
 cost one entry per block. A block then holds exactly the part of the automaton that its texts reach.
 
-Words are known by 64-bit hashes; bigrams by 48 bits inside a bucket (a chance of about 1e-8 for a
-bigram to be mixed up with another).
+Words are known by 64-bit hashes; longer n-grams by 48 bits inside a bucket (a chance of about 1e-8
+for one to be mixed up with another).
 
 Defined results: a null text counts as empty; an empty text is the end token alone; a null id is
 never held out; repeated rows train and score as often as they come; extra columns are ignored.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -41,7 +44,7 @@ from larkspur.llm.common import slices, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b""  # no word is empty
-BIGRAM_BITS = 48
+LONG_BITS = 48
 
 
 def _squeeze(values: np.ndarray, width: int) -> bytes:
@@ -72,10 +75,22 @@ def held_out(doc: int | None, folds: int, fold: int) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % folds == fold
 
 
+@dataclass
+class Grams:
+    """Distinct n-grams of one length in a block: hashes by local number, the number that each token ends (-1 for
+    none), the hashes in ascending order with their training counts, and each number's rank in that order."""
+
+    hashes: np.ndarray
+    of_token: np.ndarray
+    sorted_hashes: np.ndarray
+    counts: np.ndarray
+    rank: np.ndarray
+
+
 class Block:
     """Tokens of some texts as local numbers, with the hashes of the local words; the end token is number 0."""
 
-    FIELDS = "block long, docs array<long>, sizes array<int>, n_words int, width int, tokens binary, words binary, train_tokens long, train_docs long, n_bigrams long"
+    FIELDS = "block long, docs array<long>, sizes array<int>, n_words int, width int, tokens binary, words binary, train_tokens long, train_docs long, n_tokens long"
 
     def __init__(self, docs: list, sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray, folds: int, fold: int) -> None:
         self.docs, self.sizes, self.tokens, self.words = docs, sizes, tokens, words
@@ -108,27 +123,32 @@ class Block:
         sizes = np.array(row["sizes"], np.int64)
         return cls(row["docs"], sizes, _expand(row["tokens"], int(sizes.sum()), row["width"]).astype(np.int64), _expand(row["words"], row["n_words"], 8), folds, fold)
 
-    def contexts(self) -> np.ndarray:
-        """Number of the word in front of each token; the start of a text is the number behind all words."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = len(self.words)
-        return before
-
-    def grams(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted hashes of the distinct n-grams, which one each token is, training counts)"""
-        if kind == 0:
-            hashes, of_token = _mix(self.words), self.tokens
-        else:
-            n = len(self.words) + 1
-            pairs, of_token = np.unique(self.contexts() * n + self.tokens, return_inverse=True)
-            first = np.append(self.words, np.uint64(0x5354415254))[pairs // n]
-            hashes = _mix(_mix(first) + self.words[pairs % n] * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(hashes)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        of_token = place[of_token]
-        return hashes[order], of_token, np.bincount(of_token[self.train], minlength=len(order))
+    def grams(self, order: int) -> list[Grams]:
+        """The n-grams of 1 to `order` tokens; a text's start is the word behind all others."""
+        first = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(self.tokens)) - np.repeat(first, self.sizes)
+        found, n = [], len(self.words) + 1
+        for length in range(order):
+            if length == 0:
+                hashes, which = _mix(self.words), self.tokens
+                has = np.ones(len(self.tokens), bool)
+            else:
+                has = place >= length - 1
+                before = np.roll(found[-1].of_token, 1)
+                known = found[-1].hashes
+                if length == 1:
+                    before[first] = len(self.words)
+                    known = np.append(known, _mix(np.array([0x5354415254], np.uint64)))
+                pairs, inverse = np.unique(before[has] * n + self.tokens[has], return_inverse=True)
+                hashes = _mix(known[pairs // n] + self.words[pairs % n] * np.uint64(0x9E3779B97F4A7C15))
+                which = np.full(len(self.tokens), -1)
+                which[has] = inverse
+            by_hash = np.argsort(hashes)
+            rank = np.empty(len(by_hash), np.int64)
+            rank[by_hash] = np.arange(len(by_hash))
+            counts = np.bincount(rank[which[has & self.train]], minlength=len(by_hash))
+            found.append(Grams(hashes, which, hashes[by_hash], counts, rank))
+        return found
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -138,11 +158,11 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _reduced(hashes: np.ndarray, kind: int, bucket: int, n: int) -> np.ndarray:
-    """What tells a bucket's n-grams apart: all bits of a word's hash, the high BIGRAM_BITS of the bucket's range for a bigram's."""
+    """What tells a bucket's n-grams apart: all bits of a word's hash, the high LONG_BITS of the bucket's range for a bigram's."""
     if kind == 0:
         return hashes
     span = -(-(1 << 64) // n)
-    return (hashes - np.uint64((bucket << 64) // n)) >> np.uint64(max(0, span.bit_length() - BIGRAM_BITS))
+    return (hashes - np.uint64((bucket << 64) // n)) >> np.uint64(max(0, span.bit_length() - LONG_BITS))
 
 
 def tokenised(df: DataFrame, folds: int, fold: int, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -161,10 +181,10 @@ def tokenised(df: DataFrame, folds: int, fold: int, id_col: str, text_col: str,
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, Block.FIELDS)
 
 
-def counted(blocks: DataFrame, sizes: tuple[int, int], folds: int, fold: int) -> DataFrame:
+def counted(blocks: DataFrame, sizes: list[int], folds: int, fold: int) -> DataFrame:
     """(block, kind, bucket, n, width, counts binary, distinct): total training counts of each block's n-grams.
 
-    `sizes` is the number of buckets for words and for bigrams. `distinct`, on one row of each bucket,
+    `kind` is an n-gram's length less one, `sizes` the number of buckets for each. `distinct`, on one row of each bucket,
     is the number of its n-grams with a training count.
     """
     ask = "kind int, bucket int, block long, n int, key_width int, keys binary, width int, counts binary"
@@ -175,15 +195,16 @@ def counted(blocks: DataFrame, sizes: tuple[int, int], folds: int, fold: int) ->
         for b in batches:
             for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
                 block = Block.of_row(row, folds, fold)
-                for kind in (0, 1):
-                    hashes, _, counts = block.grams(kind)
+                for kind, grams in enumerate(block.grams(len(sizes))):
+                    hashes, counts = grams.sorted_hashes, grams.counts
                     edges = _buckets(hashes, sizes[kind])
                     rows = []
                     for bucket, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                         if i < j:
                             keys = np.diff(_reduced(hashes[i:j], kind, bucket, sizes[kind]), prepend=np.uint64(0))
                             rows.append((kind, bucket, row["block"], j - i, _width(keys), _squeeze(keys, _width(keys)), _width(counts[i:j]), _squeeze(counts[i:j], _width(counts[i:j]))))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ask_kinds)], names=ask_names)
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ask_kinds)], names=ask_names)
 
     answer = "block long, kind int, bucket int, n int, width int, counts binary, distinct long"
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
@@ -209,28 +230,34 @@ def counted(blocks: DataFrame, sizes: tuple[int, int], folds: int, fold: int) ->
     return wanted.groupBy("kind", "bucket").applyInArrow(totals, answer)
 
 
-def traverse(block: Block, word_counts: np.ndarray, arc_of_token: np.ndarray, arc_counts: np.ndarray, n: int, v: int, n_texts: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 weight of each step through the automaton, log10 weight at the root); word counts are by local number.
+def traverse(block: Block, grams: list[Grams], totals: list[np.ndarray], n: int, v: int, n_texts: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 weight of each token's step through the automaton, log10 weight at the root).
 
-    The state in front of a token is its context if that was seen in training, else the root.
+    `totals` has the training counts of each length's n-grams by local number.
     """
-    root = np.log10((word_counts + 0.5) / (n + 0.5 * (v + 1)))
-    seen = np.append(word_counts, n_texts).astype(np.float64)  # visits of each context; the start's are the texts
-    failure = np.where(seen > 0, np.log10(prior / (seen + prior)), 0.0)
-    state, arc = block.contexts(), arc_counts[arc_of_token]
-    at_root = root[block.tokens]
-    with_arc = np.log10((arc + prior * 10.0**at_root) / (seen[state] + prior))
-    return np.where((arc > 0) & (seen[state] > 0), with_arc, failure[state] + at_root), at_root
-
-
-def score(df: DataFrame, folds: int = 5, fold: int = 1, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, bucket_keys: int = 2_000_000) -> DataFrame:
+    first = np.cumsum(block.sizes) - block.sizes
+    at_root = np.log10((totals[0] + 0.5) / (n + 0.5 * (v + 1)))[block.tokens]
+    weight = at_root
+    for length in range(1, len(grams)):
+        before = np.roll(grams[length - 1].of_token, 1)
+        visits = np.where(before >= 0, totals[length - 1][before], 0.0)
+        visits[first] = n_texts if length == 1 else 0.0
+        own = grams[length].of_token
+        arc = np.where(own >= 0, totals[length][own], 0.0) if len(totals[length]) else np.zeros(len(own))
+        with_arc = np.log10((arc + prior * 10.0**weight) / (visits + prior))
+        failing = np.log10(prior / (visits + prior)) + weight  # no cost where there is no such state
+        weight = np.where((arc > 0) & (visits > 0), with_arc, failing)
+    return weight, at_root
+
+
+def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, bucket_keys: int = 2_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Rows whose crc32(id as text) mod `folds` is not `fold` train the model. `prior` is k above.
+    Rows whose crc32(id as text) mod `folds` is not `fold` train the model. `order` is n, `prior` is k above.
     """
     blocks = written(tokenised(df, folds, fold, id_col, text_col, block_bytes), "lm-blocks")
-    facts = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_bigrams").alias("tokens"), F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("texts")).first()
-    sizes = tuple(max(12, -(-(facts[c] or 0) // bucket_keys)) for c in ("words", "tokens"))
+    facts = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("texts")).first()
+    sizes = [max(12, -(-(facts[c] or 0) // bucket_keys)) for c in ("words", *["tokens"] * (order - 1))]
     answers = written(counted(blocks, sizes, folds, fold), "lm-counts")
     n, texts = facts["n"] or 0, facts["texts"] or 0
     v = answers.where("kind = 0").agg(F.sum("distinct")).first()[0] or 0
@@ -242,17 +269,13 @@ def score(df: DataFrame, folds: int = 5, fold: int = 1, prior: float = 100.0, id
         parts = sorted(told.select(["kind", "bucket", "n", "width", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
         for row in asked.to_pylist():
             block = Block.of_row(row, folds, fold)
-            totals = []
-            for kind in (0, 1):
-                totals.append(np.concatenate([_expand(p["counts"], p["n"], p["width"]) for p in parts if p["kind"] == kind]).astype(np.float64))
-            _, word_of_token, _ = block.grams(0)
-            place = np.argsort(_mix(block.words))
-            by_word = np.empty(len(block.words))
-            by_word[place] = totals[0]
-            _, arc_of_token, _ = block.grams(1)
-            steps, base = traverse(block, by_word, arc_of_token, totals[1], n, v, texts, prior)
+            grams, totals = block.grams(order), []
+            for kind in range(order):
+                told_of = [_expand(p["counts"], p["n"], p["width"]) for p in parts if p["kind"] == kind]
+                totals.append(np.concatenate(told_of).astype(np.float64)[grams[kind].rank] if told_of else np.zeros(0))
+            steps, base = traverse(block, grams, totals, n, v, texts, prior)
             starts = np.cumsum(block.sizes) - block.sizes
-            known = np.add.reduceat((totals[0][word_of_token] > 0).astype(np.int64), starts)
+            known = np.add.reduceat((totals[0][block.tokens] > 0).astype(np.int64), starts)
             columns = [block.docs, block.out, block.sizes, known, np.full(len(starts), n), np.add.reduceat(base, starts), np.add.reduceat(steps, starts)]
             rows.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
         return pa.concat_tables(rows)

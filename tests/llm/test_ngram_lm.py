@@ -12,48 +12,69 @@ def held(doc):
     return doc is not None and zlib.crc32(str(doc).encode()) % 5 == 1
 
 
-def brute(given, prior):
+def brute(given, prior, order):
+    """An automaton of dictionaries, traversed token by token with failure arcs."""
     tokens = [(d, [*words(lower(t)), ""]) for d, t, *_ in given]
-    count, pairs, texts = Counter(), Counter(), 0
+    count, arcs, visits = Counter(), [Counter() for _ in range(order)], Counter()
     for d, own in tokens:
         if not held(d):
             count.update(own)
-            pairs.update(zip([None, *own], own))
-            texts += 1
+            run = [None, *own]
+            for i in range(1, len(run)):
+                for length in range(1, order):
+                    if i >= length:
+                        context = tuple(run[i - length : i])
+                        visits[context] += 1
+                        arcs[length][context, run[i]] += 1
     n, v = sum(count.values()), len(count)
     p = {w: (count[w] + 0.5) / (n + 0.5 * (v + 1)) for _, own in tokens for w in own}
+
+    def weight(context, w):
+        if not context:
+            return math.log10(p[w])
+        if not visits[context]:
+            return weight(context[1:], w)
+        c = arcs[len(context)][context, w]
+        if c:
+            return math.log10((c + prior * 10 ** weight(context[1:], w)) / (visits[context] + prior))
+        return math.log10(prior / (visits[context] + prior)) + weight(context[1:], w)
+
     for d, own in tokens:
         base = sum(math.log10(p[w]) for w in own)
-        score = 0.0
-        for u, w in zip([None, *own], own):
-            visits = texts if u is None else count[u]
-            score += math.log10((pairs[u, w] + prior * p[w]) / (visits + prior)) if visits else math.log10(p[w])
+        run, score = [None, *own], 0.0
+        for i in range(1, len(run)):
+            score += weight(tuple(run[max(0, i - order + 1) : i]), run[i])
         yield d, held(d), len(own), sum(count[w] > 0 for w in own), n, base, score
 
 
 def test_scores_equal_brute_force(spark):
-    for block_bytes, bucket_keys in ((1 << 20, 2_000_000), (3000, 50)):
-        got = ngram_lm.score(documents(spark), prior=100.0, block_bytes=block_bytes, bucket_keys=bucket_keys).collect()
-        expected = sorted(brute(rows(), 100.0), key=lambda r: key(r[:5] + (round(r[5], 4),)))
+    for order, block_bytes, bucket_keys in ((3, 1 << 20, 2_000_000), (3, 3000, 50), (2, 3000, 50), (1, 3000, 50), (4, 3000, 500)):
+        got = ngram_lm.score(documents(spark), order, prior=100.0, block_bytes=block_bytes, bucket_keys=bucket_keys).collect()
+        expected = sorted(brute(rows(), 100.0, order), key=lambda r: key(r[:5] + (round(r[5], 4),)))
         got = sorted(map(tuple, got), key=lambda r: key(r[:5] + (round(r[5], 4),)))
         assert [r[:5] for r in got] == [r[:5] for r in expected]
         assert np.allclose([r[5:] for r in got], [r[5:] for r in expected], atol=1e-6)
 
 
 def test_each_state_is_a_distribution():
-    block = ngram_lm.Block.tokenise([1, 2], ["a b a c a b", "b b"], 5, 4)
-    words_, arcs_of, arc_counts = block.grams(1)
-    count = np.bincount(block.tokens, minlength=len(block.words)).astype(float)
-    n, v, k = count.sum(), len(count), 7.0
-    p = (count + 0.5) / (n + 0.5 * (v + 1))
-    unseen = 1 - p.sum()
-    ends = np.cumsum(block.sizes) - 1
-    for u in range(1, len(count)):
-        follow = np.zeros(len(count))
-        for i in range(len(block.tokens) - 1):
-            if block.tokens[i] == u and i not in ends:
-                follow[block.tokens[i + 1]] += 1
-        assert math.isclose(((follow + k * p) / (count[u] + k)).sum() + k * unseen / (count[u] + k), 1.0)
+    """Steps out of one state to every word and to an unknown one add up to one."""
+    given = [(2, "a b a c a b a b c"), (4, "b b a b a")]
+    vocabulary = ["a", "b", "c", "", "unknown"]
+    assert not any(held(d) for d, _ in given)
+    for context in ("a", "a b", "b a", "c", "zz", ""):
+        blocks = [ngram_lm.Block.tokenise([d], [t], 5, 1) for d, t in given]
+        total = 0.0
+        for w in vocabulary:
+            text = f"{context} {w}".strip()
+            block = ngram_lm.Block.tokenise([d for d, _ in given] + [None], [t for _, t in given] + [text], 5, 1)
+            block.train[sum(b.sizes[0] for b in blocks) :] = False
+            grams = block.grams(3)
+            totals = [g.counts[g.rank].astype(float) for g in grams]
+            n = totals[0].sum()
+            steps, _ = ngram_lm.traverse(block, grams, totals, n, int((totals[0] > 0).sum()), len(given), 7.0)
+            at = block.sizes[:-1].sum() + len(context.split())
+            total += 10.0 ** steps[at]
+        assert math.isclose(total, 1.0)
 
 
 def test_planes_round_trip():

@@ -28,7 +28,6 @@ def test_stages_and_run(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     assert docs.where("starts_document").count() == sizes[-1]
     again = corpus_pipeline.run(spark, SF)
-    assert sorted(map(tuple, again.select("doc_id", "start", "length", "ids_crc32").where("doc_tokens < 4096 and length = doc_tokens").collect()))[:1] is not None
     assert again.agg({"length": "sum"}).first()[0] == docs.agg({"length": "sum"}).first()[0]
 
 

@@ -250,7 +250,7 @@ def traverse(block: Block, grams: list[Grams], totals: list[np.ndarray], n: int,
     return weight, at_root
 
 
-def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, bucket_keys: int = 2_000_000) -> DataFrame:
+def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, bucket_keys: int = 2_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32(id as text) mod `folds` is not `fold` train the model. `order` is n, `prior` is k above.

@@ -59,8 +59,9 @@ def after(statements: list[str], query: str, *names: str) -> QueryFn:
 
 def _numbered(df: DataFrame, *order: str) -> DataFrame:
     """Row numbers over a total order, so that the sorting itself shows in the rows. The sort is distributed:
-    ranges are numbered by themselves and shifted by the rows of the ranges before."""
-    ranged = df.withColumn("range_", F.spark_partition_id())
+    ranges are numbered by themselves and shifted by the rows of the ranges before. The sorted rows are
+    materialized, so that both uses see the same ranges."""
+    ranged = Relation(df.withColumn("range_", F.spark_partition_id())).materialize().df
     sizes = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("range_", F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("range_").orderBy(*order))

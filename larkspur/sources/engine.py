@@ -202,7 +202,10 @@ class Transaction:
         self._write_lock()
         self._fresh(name)
         df = self.spark.read.parquet(path)
-        self.state = self.state.with_table(name, TableDef(df.schema.json(), {}, tuple(self.engine.files.listed(path))))
+        files = tuple(self.engine.files.listed(path))
+        if not files:
+            raise CatalogError(f"{path} has no Parquet files of its own")
+        self.state = self.state.with_table(name, TableDef(df.schema.json(), {}, files))
 
     def commit(self) -> None:
         self._alive()

@@ -50,10 +50,11 @@ class Words:
 
     Neither normalising nor pre-tokenising reaches across ASCII white space, so a text's ids are
     its chunks' ids. A chunk of Latin-1 letters with stop marks behind it is looked up by its
-    lower-cased letters; new ones are encoded together and told apart by the word-end ids.
+    lower-cased letters; new ones are encoded together and told apart by the word-end ids. When the
+    cache is full, chunks that came once since the last time go first.
     """
 
-    LIMIT = 600_000
+    LIMIT = 500_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,7 +74,24 @@ class Words:
     def _clear(self) -> None:
         self.number = _Numbers()
         self.letters: dict[str, bytes] = {}
-        self.offset, self.ids = array("q", [0]), array("I")
+        self.offset, self.ids, self.uses = array("q", [0]), array("I"), np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Keep the more often used half of the cache at most."""
+        least = 2
+        while np.count_nonzero(self.uses >= least) > self.LIMIT // 2:
+            least *= 2
+        kept = np.flatnonzero(self.uses >= least)
+        offset, ids = np.array(self.offset, np.int64), np.array(self.ids, np.uint32)
+        size = offset[kept + 1] - offset[kept]
+        chosen = (self.uses >= least).tolist()
+        words_ = [w for w, keep in zip(self.number, chosen) if keep]
+        uses = self.uses[kept] // 2  # older uses count for less
+        self._clear()
+        self.number.update(zip(words_, range(len(words_))))
+        self.offset.frombytes(np.cumsum(size).tobytes())
+        self.ids.frombytes(ids[csr_take(offset[kept], size)].tobytes())
+        self.uses = uses
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,7 +135,7 @@ class Words:
             rows = [np.append(x, np.uint32(end)) for x in self._ids(texts)]
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         if len(self.number) > self.LIMIT:
-            self._clear()
+            self._trim()
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -129,6 +147,9 @@ class Words:
         if self.number.new:
             self._learn(self.number.new, np.array([end], np.uint32).tobytes())
             self.number.new = []
+        seen = np.bincount(number, minlength=len(self.number))
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
         offset, ids = np.array(self.offset, np.int64), np.array(self.ids, np.uint32)
         size = offset[number + 1] - offset[number]
         stops = np.cumsum(size)
@@ -160,7 +181,7 @@ def tokenise(df: DataFrame, tokenizer: str, end: int, id_col: str, text_col: str
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"part int, at long, {id_col} long, n long, ids binary")
 
 
-def pack(df: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
     """Pieces of all documents in sequences of `length` tokens.
 
     (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, starts_document, ends_document,

@@ -69,3 +69,12 @@ def test_pieces_tile_documents_and_sequences(spark):
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark).where("false"), PATH).count() == 0
+
+
+def test_cache_keeps_what_is_used(monkeypatch):
+    monkeypatch.setattr(packing.Words, "LIMIT", 6)
+    w = packing.Words(PATH)
+    for t in ("often often once twice twice, four five six seven", "often eight. nine ten eleven twice", "often once twice 12 13 14 15", "", "often Once"):
+        ids, at = w.encode([t, t], 2)
+        assert ids[: at[1]].tolist() == ids[at[1] :].tolist() == ids_of(t)
+        assert "often" in w.number or not t

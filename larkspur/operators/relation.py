@@ -14,17 +14,13 @@ from pyspark.sql import functions as F
 
 from larkspur.errors import BindError
 from larkspur.functions.aggregates import AggregateFn
-from larkspur.plans.binder import Scope
+from larkspur.plans.binder import Scope, estimated_bytes
 from larkspur.plans.syntax import Const, Field, Term
 
 #: A join side is broadcast only if the optimiser's size estimate of it is at most this.
 BROADCAST_BYTES = 64 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 class Relation:
     def __init__(self, df: DataFrame) -> None:
         self.df = df

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from larkspur.operators.relation import Relation
-from larkspur.plans.binder import bind
+from larkspur.plans.binder import bind, join_order
 from larkspur.plans.syntax import Const, Field, Select, Term
 from larkspur.queries import PAIRS, TABLES, dialect
 
@@ -53,6 +53,24 @@ def test_join_order_avoids_products(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_join_order_of_cycles():
+    size = [10, 1000, 100, 500].__getitem__
+    tree = [(0, 1), (1, 3), (3, 2)]
+    assert join_order(4, tree, size) == [0, 1, 3, 2]
+    assert join_order(4, [(2, 3)], size) == [0, 1, 2, 3]
+    assert join_order(4, [*tree, (3, 1)], size) == [0, 1, 3, 2]  # two equalities between the same tables
+    assert join_order(4, [*tree, (0, 2)], size) == [1, 3, 2, 0]
+    assert join_order(1, [], size) == [0]
+
+
+@needs_data
+def test_cyclic_joins_start_at_the_fact_table(spark):
+    df = PAIRS["join_multi_key"][0](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join Inner" in line]
+    assert "s_nationkey" in joins[0] and "s_suppkey" in joins[0]  # the outermost join has both of its equalities
+
+
 @needs_data
 def test_hints_pick_the_operator(spark):
     assert "SortMergeJoin" in plan(PAIRS["merge_join_1n"][0](spark, SF))

@@ -54,7 +54,7 @@ class Words:
     cache is full, chunks that came once since the last time go first.
     """
 
-    LIMIT = 500_000
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,7 +87,9 @@ class Words:
         chosen = (self.uses >= least).tolist()
         words_ = [w for w, keep in zip(self.number, chosen) if keep]
         uses = self.uses[kept] // 2  # older uses count for less
+        letters = self.letters if len(self.letters) <= self.LIMIT else {}
         self._clear()
+        self.letters = letters
         self.number.update(zip(words_, range(len(words_))))
         self.offset.frombytes(np.cumsum(size).tobytes())
         self.ids.frombytes(ids[csr_take(offset[kept], size)].tobytes())

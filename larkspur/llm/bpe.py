@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import csr_take, slices
+from larkspur.llm.common import claim_worker, csr_take, slices
 
 # Symbols of the automaton. Look-ahead is folded into the symbol, so the automaton needs none.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE_MORE, SPACE_LAST, BLANK_LAST, BREAK = range(9)
@@ -280,6 +280,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe", codec.cache_clear)
         c = codec(vocabulary)
         for b in slices(batches, "_text", block_bytes):
             ids, at = c.encode(_texts(b.column("_text")))
@@ -297,6 +298,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
     schema = pa.schema([(id_col, pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe", codec.cache_clear)
         c = codec(vocabulary)
         for b in batches:
             lists = b.column("ids")
@@ -313,6 +315,7 @@ def round_trip_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe", codec.cache_clear)
         c = codec(vocabulary)
         for b in slices(batches, "_text", block_bytes):
             texts = _texts(b.column("_text"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,24 @@ SPACE_CLASS = r"[ \t-\r]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Per-process caches of the operators, by name, with what empties each.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim_worker(name: str, empty: Callable[[], None] | None = None) -> None:
+    """Called first by each Arrow function: Python workers are reused by later stages, so the caches that other
+    operators have left in this one are emptied, and the memory goes back to the system."""
+    others = [n for n in _caches if n != name]
+    for n in others:
+        _caches.pop(n)()
+    if empty is not None:
+        _caches[name] = empty
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices
+from larkspur.llm.common import claim_worker, slices
 
 PAIRS, SOURCES, LANGS = 64, 64, 16
 STYLE = 17
@@ -132,6 +132,7 @@ class Model:
 
 def _featured(inputs: DataFrame, batch_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("cotraining")
         for b in slices(batches, "_text", batch_bytes):
             text = text_features(b.column("_text").to_pylist())
             meta = metadata_features(*(b.column(c).to_pylist() for c in ("_source", "_lang", "_chars")))
@@ -207,6 +208,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5, id_col: st
     names = [id_col, "p_text", "p_metadata", "score", "keep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("cotraining")
         for b in slices(batches, "_text", batch_bytes):
             text = text_features(b.column("_text").to_pylist())
             meta = metadata_features(*(b.column(c).to_pylist() for c in ("_source", "_lang", "_chars")))
@@ -220,6 +222,7 @@ def filtered(documents: DataFrame, model: Model, threshold: float = 0.5, batch_b
     """The rows of `documents` (doc_id, text, lang, source, n_chars and any others) that `score` would keep, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("cotraining")
         for b in slices(batches, "text", batch_bytes):
             text = text_features(b.column("text").to_pylist())
             meta = metadata_features(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")))

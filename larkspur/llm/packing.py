@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import csr_take, slices, written
+from larkspur.llm.common import claim_worker, csr_take, slices, written
 
 #: White space beyond ASCII, and separators that str.split() takes for white space but the vocabulary does not.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -54,7 +54,8 @@ class Words:
     cache is full, chunks that came once since the last time go first.
     """
 
-    LIMIT = 600_000
+    LIMIT = 450_000
+    MOST_LETTERS = 200_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,7 +88,7 @@ class Words:
         chosen = (self.uses >= least).tolist()
         words_ = [w for w, keep in zip(self.number, chosen) if keep]
         uses = self.uses[kept] // 2  # older uses count for less
-        letters = self.letters if len(self.letters) <= self.LIMIT else {}
+        letters = self.letters if len(self.letters) <= self.MOST_LETTERS else {}
         self._clear()
         self.letters = letters
         self.number.update(zip(words_, range(len(words_))))
@@ -170,6 +171,7 @@ def tokenise(df: DataFrame, tokenizer: str, end: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim_worker("packing", words.cache_clear)
         part, at = TaskContext.get().partitionId(), 0
         w = words(tokenizer)
         kind = "<u2" if len(w.is_end) <= 1 << 16 else "<u4"

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices
+from larkspur.llm.common import claim_worker, slices
 from larkspur.llm.components import connected_components
 
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -73,6 +73,7 @@ def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, id_col: str = "d
     names = [id_col, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("simhash")
         for b in slices(batches, "_text", batch_bytes):
             hashes: list[int] = []
             counts = np.zeros(b.num_rows, np.int64)

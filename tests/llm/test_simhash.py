@@ -130,3 +130,56 @@ def test_layout_reaches_the_recall():
         bits, blocks, width = simhash_similar.layout(n, 0.8, 0.99, 2048)
         assert 2**bits >= n and bits * blocks + 64 <= 64 * width
         assert 1 - (1 - (1 - simhash_similar.bit_share(0.8)) ** bits) ** blocks >= 0.99
+
+
+def short_pairs(copies=12):
+    """(shared, own of each) shingles as pairs of texts around 0.8: runs of distinct words that share their first part."""
+    found, i = [], 0
+    for shared, a, b in ((4, 0, 1), (5, 0, 1), (6, 0, 1), (12, 1, 2), (20, 2, 3), (28, 3, 4), (3, 0, 1), (11, 1, 2), (19, 2, 3), (27, 3, 4), (280, 40, 40)):
+        for _ in range(copies):
+            base = [f"p{i}w{k}" for k in range(shared + 4)]
+            for side, own in enumerate((a, b)):
+                found.append((2 * i + side, " ".join([*base, *(f"p{i}s{side}w{k}" for k in range(own))]), "en", "s", 1))
+            i += 1
+    return found
+
+
+def exact_components(given):
+    sets = []
+    for d, t, *_ in given:
+        own = words(lower(t))
+        sets.append((d, frozenset(" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4)))))
+    return {d: c for (d, _), c in zip(sets, components(sets, lambda a, b: jaccard(a, b) >= 0.8))}
+
+
+def test_short_pairs_at_the_threshold_are_found_and_no_others(spark):
+    given = short_pairs()
+    expected = exact_components(given)
+    assert sum(d != c for d, c in expected.items()) == 6 * 12
+    # So high a recall that what is seen is the decision, not the blocks' share of pairs that never meet.
+    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given), recall=1 - 1e-6).collect()} == expected
+
+
+def test_clusters_in_chunks_give_the_same_components(spark):
+    given = short_pairs(3) + near_copies(60, 100, 6)
+    expected = exact_components(given)
+    classes = spark.createDataFrame([(d, int(len(s)), bytearray(x)) for (d, *_), s, x in ((g, *pair) for g, pair in zip(given, ((s, simhash_similar._digests([s])[0].as_py()) for s in simhash_similar._sets([g[1] for g in given], 5))))], "id long, size long, digest binary").dropDuplicates(["digest"])
+    candidates = spark.createDataFrame([(given[0][0], g[0]) for g in given[1:]], "a long, b long")
+    kept = {r.id for r in classes.collect()}
+    wanted = {frozenset(d for d, c in expected.items() if c == x and d in kept) for x in set(expected.values())}
+    for most in (1024, 20):
+        links = simhash_similar.exact_links(documents(spark, given), classes, candidates, 0.8, 5, "doc_id", "text", 1 << 20, most)
+        found = [(r.a, r.b) for r in links.collect()]
+        group = {d: {d} for d in kept}
+        for a, b in found:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for d in group[b]:
+                    group[d] = group[a]
+        assert {frozenset(g) for g in group.values()} == {w for w in wanted if w}
+
+
+def test_exact_share_of_small_sets():
+    assert simhash_similar.exact_share(4, 0, 1) == 0.1875
+    assert simhash_similar.worst_share(0.8, 1, 12) == 0.1875
+    assert abs(simhash_similar.exact_share(280, 40, 40) - simhash_similar.bit_share(280 / 360)) < 0.01

@@ -160,6 +160,12 @@ def test_short_pairs_at_the_threshold_are_found_and_no_others(spark):
     assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given), recall=1 - 1e-6).collect()} == expected
 
 
+def test_wide_fingerprints_give_the_same_groups(spark):
+    """The width grows with the number of documents; 7,040 bits are those of 30 million."""
+    given = short_pairs()
+    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given), recall=1 - 1e-6, least_bits=7040).collect()} == exact_components(given)
+
+
 def test_clusters_in_chunks_give_the_same_components(spark):
     given = short_pairs(3) + near_copies(60, 100, 6)
     expected = exact_components(given)

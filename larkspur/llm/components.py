@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A node with more links than this, and than one in HUBS of all links, is a hub. There are at most 2 * HUBS of them.
+HUB_LINKS, HUBS = 1000, 50_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (a, b) with a > b; each node's lowest neighbour takes over its other links."""
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One star step over n links (a, b) with a > b; each node's lowest neighbour takes over its other links.
+
+    Links of hubs stay where they are and find their lowest neighbour in a broadcast of the hubs, so no task
+    gets all links of one node.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    met = both.join(lowest, "a")
+    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+    most = max(HUB_LINKS, n // HUBS)
+    hubs = F.broadcast(lowest.where(F.col("n") > most).select("a", "low"))
+    rest = both.join(hubs.select("a"), "a", "left_anti").join(lowest.where(F.col("n") <= most).select("a", "low"), "a")
+    met = both.join(hubs, "a").select("a", "b", "low").unionByName(rest.select("a", "b", "low"))
     if large:
         moved = met.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -26,13 +36,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     logarithm of the longest chain.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct().checkpoint()
-    seen = None
-    for _ in range(max_rounds):
-        edges = _star(_star(edges, True), False).checkpoint()
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+    state = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = state()
+    for _ in range(max_rounds if seen[0] else 0):
+        edges = _star(edges, True, seen[0]).checkpoint()
+        edges = _star(edges, False, seen[0]).checkpoint()
+        before, seen = seen, state()
+        if before == seen:
             break
-        seen = now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

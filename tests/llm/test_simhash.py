@@ -104,34 +104,6 @@ def test_similar_groups_equal_brute_force(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
-def test_crowded_cells_in_chunks_give_the_same_components(spark):
-    from larkspur.llm.components import connected_components
-
-    words_, n = 32, 120
-    r = np.random.default_rng(1)
-    base = r.integers(0, 2, 64 * words_)
-    fp = []
-    for _ in range(n):
-        own = base.copy()
-        flips = r.choice(len(own), r.integers(0, 330), replace=False)
-        own[flips] ^= 1
-        fp.append(np.packbits(own.astype(np.uint8), bitorder="little").tobytes())
-    classes = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(fp)], "id long, fp binary")
-    limit = 320
-    found = []
-    for few, chunk in ((1000, 4096), (2, 4096), (2, 10)):
-        links = simhash_similar.similar_links(classes, 4, 40, words_, limit, few, chunk)
-        found.append({x.node: x.component for x in connected_components(links).collect()})
-    assert found[0] == found[1] == found[2] and len(found[0]) > 20
-
-
-def test_layout_reaches_the_recall():
-    for n in (2, 10_000, 10**9):
-        bits, blocks, width = simhash_similar.layout(n, 0.8, 0.99, 2048)
-        assert 2**bits >= n and bits * blocks + 64 <= 64 * width
-        assert 1 - (1 - (1 - simhash_similar.bit_share(0.8)) ** bits) ** blocks >= 0.99
-
-
 def short_pairs(copies=12):
     """(shared, own of each) shingles as pairs of texts around 0.8: runs of distinct words that share their first part."""
     found, i = [], 0
@@ -156,36 +128,74 @@ def test_short_pairs_at_the_threshold_are_found_and_no_others(spark):
     given = short_pairs()
     expected = exact_components(given)
     assert sum(d != c for d, c in expected.items()) == 6 * 12
-    # So high a recall that what is seen is the decision, not the blocks' share of pairs that never meet.
-    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given), recall=1 - 1e-6).collect()} == expected
-
-
-def test_wide_fingerprints_give_the_same_groups(spark):
-    """The width grows with the number of documents; 7,040 bits are those of 30 million."""
-    given = short_pairs()
-    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given), recall=1 - 1e-6, least_bits=7040).collect()} == exact_components(given)
+    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given)).collect()} == expected
 
 
 def test_clusters_in_chunks_give_the_same_components(spark):
-    given = short_pairs(3) + near_copies(60, 100, 6)
+    """A family of near copies of which some link to few others, in chunks far smaller than itself."""
+    given = short_pairs(3) + near_copies(150, 100, 6)
     expected = exact_components(given)
-    classes = spark.createDataFrame([(d, int(len(s)), bytearray(x)) for (d, *_), s, x in ((g, *pair) for g, pair in zip(given, ((s, simhash_similar._digests([s])[0].as_py()) for s in simhash_similar._sets([g[1] for g in given], 5))))], "id long, size long, digest binary").dropDuplicates(["digest"])
-    candidates = spark.createDataFrame([(given[0][0], g[0]) for g in given[1:]], "a long, b long")
-    kept = {r.id for r in classes.collect()}
-    wanted = {frozenset(d for d, c in expected.items() if c == x and d in kept) for x in set(expected.values())}
+    assert 1 < len({c for d, c in expected.items() if d >= 10_000}) < 140
     for most in (1024, 20):
-        links = simhash_similar.exact_links(documents(spark, given), classes, candidates, 0.8, 5, "doc_id", "text", 1 << 20, most)
-        found = [(r.a, r.b) for r in links.collect()]
-        group = {d: {d} for d in kept}
-        for a, b in found:
-            if group[a] is not group[b]:
-                group[a] |= group[b]
-                for d in group[b]:
-                    group[d] = group[a]
-        assert {frozenset(g) for g in group.values()} == {w for w in wanted if w}
-
-
-def test_exact_share_of_small_sets():
-    assert simhash_similar.exact_share(4, 0, 1) == 0.1875
-    assert simhash_similar.worst_share(0.8, 1, 12) == 0.1875
-    assert abs(simhash_similar.exact_share(280, 40, 40) - simhash_similar.bit_share(280 / 360)) < 0.01
+        assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given), most=most).collect()} == expected
+
+
+def test_passages_that_all_share_do_not_gather_documents(spark):
+    """Texts of 60 shared words and 200 of their own share many shingles and no block."""
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    given = [(i, " ".join([*passage, *(f"x{r.randrange(10**6)}" for _ in range(200))]), "en", "s", 1) for i in range(300)]
+    df = documents(spark, given)
+    sets = simhash_similar._of_classes(df, simhash_similar._marked(df, 0.8, 5, "doc_id", "text", 1 << 20), 5, "doc_id", "text", 1 << 20, "id long, shingles array<long>", simhash_similar._whole)
+    sized = sets.selectExpr("id", "shingles", "size(shingles) as size").selectExpr("*", "cast(size - ceil(0.8 * size) + 1 as bigint) as need")
+    assert simhash_similar._clusters(sized).isEmpty()
+    assert all(x.id == x.component for x in simhash_similar.groups(df).collect())
+
+
+def test_rows_dealt_for_a_family_are_linear(spark):
+    """Each set of a family that is one component after the pivots is dealt once, and the pivots once a chunk."""
+    base = [f"w{i}" for i in range(30)]
+    given = [(i, " ".join([*base, f"t{i}"]), "en", "s", 1) for i in range(2000)]
+    df = documents(spark, given)
+    dealt = []
+    compared = simhash_similar._compared
+    try:
+        simhash_similar._compared = lambda d, *rest: dealt.append(d.count()) or compared(d, *rest)
+        got = simhash_similar.groups(df, most=50).collect()
+    finally:
+        simhash_similar._compared = compared
+    assert {x.component for x in got} == {0}
+    assert dealt == [2000 + 40 * simhash_similar.PIVOTS]
+
+
+def test_symmetric_difference_decides_for_any_two_sizes():
+    """Of every pair of small sets that is similar enough, one block at least is shared, in any order of shingles."""
+    for n in range(1, 30):
+        for m in range(n, 40):
+            for c in range(n + 1):
+                if c / (n + m - c) >= 0.8:
+                    # c shared shingles, at worst behind all others of either set
+                    assert simhash_similar.blocks_of(n, 0.8) > n - c and simhash_similar.blocks_of(m, 0.8) > m - c
+
+
+def test_repeated_ids_and_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    given = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (3, b, "en", "s", 1), (3, a, "en", "s", 1), (4, b + " more", "en", "s", 1), (9, "other words altogether here now", "en", "s", 1)]
+    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given)).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
+def test_hubs_of_components(spark):
+    from larkspur.llm import components
+
+    r = random.Random(8)
+    pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 300)] + [(5000, i) for i in range(390, 420)] + [(i, i + 1) for i in range(6000, 6040)] + [(r.randrange(7000, 7100), r.randrange(7000, 7100)) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    plain = {x.node: x.component for x in components.connected_components(df).collect()}
+    limits = components.HUB_LINKS, components.HUBS
+    try:
+        components.HUB_LINKS, components.HUBS = 3, 1000
+        assert {x.node: x.component for x in components.connected_components(df).collect()} == plain
+    finally:
+        components.HUB_LINKS, components.HUBS = limits
+    assert plain[5000] == 0 and plain[6040] == 6000
+    assert components.connected_components(df.where("false")).count() == 0

@@ -9,17 +9,19 @@ With c the training counts, k the prior weight, v a context and v' its shorter o
     state arc     p(w|v) = (c(v,w) + k p(w|v')) / (c(v) + k)      where c(v,w) > 0
     failure arc   b(v)   = k / (c(v) + k)
 
-so each state's probabilities add up to one (hierarchical Dirichlet smoothing). A text is traversed
-once from left to right. The state in front of a token is the longest context that is a state; the
-weight of the step is that of its arc, or of its failure arc and of the step from there. States
-depend on the tokens before only, so a block's steps are computed as arrays.
-
-Neither texts nor counts are gathered anywhere. Texts are tokenised into blocks of bounded size; a
-block asks for the counts of its own distinct n-grams in hash buckets of bounded size; a bucket adds
-up all blocks' counts and answers each block in the order it asked. Frequent words and hot sources
-cost one entry per block. A block then holds exactly the part of the automaton that its texts reach.
-
-Words are known by 64-bit hashes; longer n-grams by 48 bits inside a bucket (a chance of about 1e-8
+so each state's probabilities add up to one (hierarchical Dirichlet smoothing). A text is traversed once from
+left to right: the automaton is in one state, a token takes the state's arc, or failure arcs until some state has one,
+and the state that the arc leads to is carried to the next token (`Automaton`). Many stretches of texts step in lockstep.
+
+Neither texts nor counts are gathered anywhere. Texts are tokenised into blocks of bounded size, and a block
+asks for the counts of its own distinct n-grams, so it gets exactly the part of the automaton that its texts reach.
+Asking is a radix exchange of fixed fan-out: a block's sorted n-grams are cut into FAN_OUT ranges of hashes. Where a
+range of the whole corpus fits into one task, that task adds up and answers. Where it does not, FAN_OUT blocks' shares of a
+range are merged into one, which asks in the same way one level below and passes on what it is told. So rows are
+FAN_OUT for each block and level, levels are the logarithm of the corpus, and no task grows with it. Frequent words and hot
+sources cost one entry per block.
+
+Words are known by 64-bit hashes; longer n-grams by 48 bits beyond those of the lowest range (a chance of about 1e-8
 for one to be mixed up with another).
 
 Defined results: a null text counts as empty; an empty text is the end token alone; a null id is
@@ -40,11 +42,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices, written
+from larkspur.llm.common import claim_worker, slices, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b""  # no word is empty
 LONG_BITS = 48
+#: Ranges that each block, or merged share of blocks, is cut into.
+FAN_BITS = 6
+#: Tokens of a text that are traversed in one stretch.
+STRETCH = 512
+#: Partitions of an exchange at most; beyond, a task answers several ranges one after the other.
+MOST_PARTS = 50_000
 
 
 def _squeeze(values: np.ndarray, width: int) -> bytes:
@@ -151,20 +159,6 @@ class Block:
         return found
 
 
-def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Edges of the buckets in sorted hashes: ranges of equal width."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-
-
-def _reduced(hashes: np.ndarray, kind: int, bucket: int, n: int) -> np.ndarray:
-    """What tells a bucket's n-grams apart: all bits of a word's hash, the high LONG_BITS of the bucket's range for a bigram's."""
-    if kind == 0:
-        return hashes
-    span = -(-(1 << 64) // n)
-    return (hashes - np.uint64((bucket << 64) // n)) >> np.uint64(max(0, span.bit_length() - LONG_BITS))
-
-
 def tokenised(df: DataFrame, folds: int, fold: int, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     names = [x.split()[0] for x in Block.FIELDS.split(", ")]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -172,6 +166,7 @@ def tokenised(df: DataFrame, folds: int, fold: int, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim_worker("ngram_lm")
         number = TaskContext.get().partitionId() << 24
         for b in slices(batches, "_text", block_bytes):
             block = Block.tokenise(b.column("_id").to_pylist(), b.column("_text").to_pylist(), folds, fold)
@@ -181,53 +176,234 @@ def tokenised(df: DataFrame, folds: int, fold: int, id_col: str, text_col: str,
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, Block.FIELDS)
 
 
-def counted(blocks: DataFrame, sizes: list[int], folds: int, fold: int) -> DataFrame:
-    """(block, kind, bucket, n, width, counts binary, distinct): total training counts of each block's n-grams.
+ASK = "kind int, range long, asker long, n int, key_width int, keys binary, width int, counts binary"
+ASK_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+ANSWER = "kind int, range long, asker long, n int, width int, counts binary, distinct long"
+ANSWER_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
 
-    `kind` is an n-gram's length less one, `sizes` the number of buckets for each. `distinct`, on one row of each bucket,
-    is the number of its n-grams with a training count.
-    """
-    ask = "kind int, bucket int, block long, n int, key_width int, keys binary, width int, counts binary"
-    ask_names = [x.split()[0] for x in ask.split(", ")]
-    ask_kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+@dataclass(frozen=True)
+class Radix:
+    """Ranges of hashes by levels: a level splits each range of the one above into 2 ** `fan_bits`."""
+
+    levels: int
+    fan_bits: int = FAN_BITS
+
+    @classmethod
+    def of(cls, entries: int, range_keys: int, fan_bits: int = FAN_BITS) -> Radix:
+        """As many levels as ranges of at most `range_keys` of the blocks' entries take, if hashes spread evenly."""
+        levels = 1
+        while entries > range_keys << (fan_bits * levels):
+            levels += 1
+        return cls(levels, fan_bits)
+
+    @property
+    def ranges(self) -> int:
+        return 1 << (self.fan_bits * self.levels)
+
+    def kept(self, kind: int) -> int:
+        """Bits of a hash that keys have."""
+        return 64 if kind == 0 else min(64, LONG_BITS + self.fan_bits * self.levels)
+
+    def requests(self, kind: int, above: int, asker: int, keys: np.ndarray, counts: np.ndarray, level: int) -> list[tuple]:
+        """Rows of ASK for the ranges of a level inside range `above` of the one over it; `keys` ascend."""
+        low = self.kept(kind) - self.fan_bits * level
+        starts = np.array([((above << self.fan_bits) + i) << low for i in range(1 << self.fan_bits)], np.uint64)
+        edges = [*np.searchsorted(keys, starts).tolist(), len(keys)]
+        rows = []
+        for i, (at, to) in enumerate(zip(edges, edges[1:])):
+            if at < to:
+                steps = np.diff(keys[at:to], prepend=starts[i])
+                rows.append((kind, (above << self.fan_bits) + i, asker, to - at, _width(steps), _squeeze(steps, _width(steps)), _width(counts[at:to]), _squeeze(counts[at:to], _width(counts[at:to]))))
+        return rows
+
+    def read(self, asked: list[dict], level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts) of requests, one after the other."""
+        keys = [np.cumsum(_expand(r["keys"], r["n"], r["key_width"]), dtype=np.uint64) + np.uint64(r["range"] << (self.kept(r["kind"]) - self.fan_bits * level)) for r in asked]
+        return np.concatenate(keys), np.concatenate([_expand(r["counts"], r["n"], r["width"]) for r in asked])
+
+
+def _merged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in ascending order, the place of each key among them)."""
+    order = np.argsort(keys, kind="stable")
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = np.diff(keys[order]) != 0
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return keys[order][fresh], which
+
+
+def _added(which: np.ndarray, n: int, counts: np.ndarray) -> np.ndarray:
+    total = np.zeros(n, np.uint64)
+    np.add.at(total, which, counts)
+    return total
+
+
+def _told(asked: list[dict], every: np.ndarray, distinct: int) -> pa.Table:
+    """Rows of ANSWER to requests, from the total counts of all their keys; `distinct` goes with the first."""
+    rows, at = [], 0
+    for i, r in enumerate(asked):
+        own = every[at : at + r["n"]]
+        at += r["n"]
+        rows.append((r["kind"], r["range"], r["asker"], r["n"], _width(own), _squeeze(own, _width(own)), 0 if i else distinct))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ANSWER_KINDS)], names=_names(ANSWER))
+
+
+def _by_range(asked: DataFrame, ranges: int, orders: int) -> DataFrame:
+    """Each (kind, range) in a partition of its own, addressed by number, as far as MOST_PARTS goes."""
+    part = F.pmod(F.col("kind") * F.lit(ranges).cast("long") + F.col("range"), F.lit(min(ranges * orders, MOST_PARTS)).cast("long")).cast("int")
+    return asked.withColumn("part", part).repartitionById(min(ranges * orders, MOST_PARTS), F.col("part"))
+
+
+def resolved(asked: DataFrame, radix: Radix, level: int, askers: int, orders: int) -> tuple[DataFrame, int]:
+    """(ANSWER to each request of the level, number of distinct words with a training count); a range has at most `askers` requests."""
+    if level == radix.levels:
+
+        def totals(group: pa.Table) -> pa.Table:
+            rows = group.select(_names(ASK)).to_pylist()
+            keys, counts = radix.read(rows, level)
+            distinct, which = _merged(keys)
+            total = _added(which, len(distinct), counts)
+            return _told(rows, total[which], int(np.count_nonzero(total)))
+
+        told = written(_by_range(asked, radix.ranges, orders).groupBy("part", "kind", "range").applyInArrow(totals, ANSWER), "lm-counts")
+        return told, told.where("kind = 0").agg(F.sum("distinct")).first()[0] or 0
+
+    nodes = -(-askers >> radix.fan_bits)
+    asked = written(asked, f"lm-asked-{level}")
+    parts = min(max(1, orders * nodes << (radix.fan_bits * level)), MOST_PARTS)
+    keys_ = ("kind", "range", "node")
+    shares = asked.withColumn("node", F.pmod(F.xxhash64("asker"), F.lit(nodes).cast("long"))).repartition(parts, *keys_)
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = group.select(_names(ASK)).to_pylist()
+        keys, counts = radix.read(rows, level)
+        distinct, which = _merged(keys)
+        below = radix.requests(rows[0]["kind"], rows[0]["range"], group.column("node")[0].as_py(), distinct, _added(which, len(distinct), counts), level + 1)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*below), ASK_KINDS)], names=_names(ASK))
+
+    told, v = resolved(shares.groupBy(*keys_).applyInArrow(merge, ASK), radix, level + 1, nodes, orders)
+
+    def pass_on(group: pa.Table, told: pa.Table) -> pa.Table:
+        rows = group.select(_names(ASK)).to_pylist()
+        distinct, which = _merged(radix.read(rows, level)[0])
+        parts = sorted(told.select(["below", "n", "width", "counts"]).to_pylist(), key=lambda r: r["below"])
+        total = np.concatenate([_expand(r["counts"], r["n"], r["width"]) for r in parts])
+        return _told(rows, total[which], 0)
+
+    above = told.select("kind", F.shiftright("range", radix.fan_bits).alias("range"), F.col("asker").alias("node"), F.col("range").alias("below"), "n", "width", "counts").repartition(parts, *keys_)
+    return written(shares.groupBy(*keys_).cogroup(above.groupBy(*keys_)).applyInArrow(pass_on, ANSWER), f"lm-told-{level}"), v
+
+
+def requests(blocks: DataFrame, radix: Radix, order: int, folds: int, fold: int) -> DataFrame:
+    """ASK for the training counts of each block's n-grams; `kind` is an n-gram's length less one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngram_lm")
         for b in batches:
             for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
                 block = Block.of_row(row, folds, fold)
-                for kind, grams in enumerate(block.grams(len(sizes))):
-                    hashes, counts = grams.sorted_hashes, grams.counts
-                    edges = _buckets(hashes, sizes[kind])
-                    rows = []
-                    for bucket, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-                        if i < j:
-                            keys = np.diff(_reduced(hashes[i:j], kind, bucket, sizes[kind]), prepend=np.uint64(0))
-                            rows.append((kind, bucket, row["block"], j - i, _width(keys), _squeeze(keys, _width(keys)), _width(counts[i:j]), _squeeze(counts[i:j], _width(counts[i:j]))))
+                for kind, grams in enumerate(block.grams(order)):
+                    keys = grams.sorted_hashes >> np.uint64(64 - radix.kept(kind))
+                    rows = radix.requests(kind, 0, row["block"], keys, grams.counts, 1)
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ask_kinds)], names=ask_names)
-
-    answer = "block long, kind int, bucket int, n int, width int, counts binary, distinct long"
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-
-    def totals(group: pa.Table) -> pa.Table:
-        asked = group.select(ask_names).to_pylist()
-        keys = np.concatenate([np.cumsum(_expand(r["keys"], r["n"], r["key_width"]), dtype=np.uint64) for r in asked])
-        counts = np.concatenate([_expand(r["counts"], r["n"], r["width"]) for r in asked])
-        order = np.argsort(keys, kind="stable")
-        fresh = np.diff(keys[order], prepend=keys[order[:1]] ^ np.uint64(1)) != 0
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.cumsum(fresh) - 1
-        total = np.zeros(int(fresh.sum()), np.uint64)
-        np.add.at(total, which, counts)
-        every, at, rows = total[which], 0, []
-        for i, r in enumerate(asked):
-            own = every[at : at + r["n"]]
-            at += r["n"]
-            rows.append((r["block"], r["kind"], r["bucket"], r["n"], _width(own), _squeeze(own, _width(own)), 0 if i else int(np.count_nonzero(total))))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in answer.split(", ")])
-
-    wanted = blocks.select("block", "docs", "sizes", "n_words", "width", "tokens", "words").mapInArrow(requests, ask)
-    return wanted.groupBy("kind", "bucket").applyInArrow(totals, answer)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ASK_KINDS)], names=_names(ASK))
+
+    return blocks.select("block", "docs", "sizes", "n_words", "width", "tokens", "words").mapInArrow(run, ASK)
+
+
+class Automaton:
+    """The states and arcs that a block's texts reach.
+
+    State 0 is the root, state 1 the start of a text, then come the block's n-grams of 1 to order - 1 tokens. `keys` has
+    state * words + token of each arc in ascending order, `weights` and `targets` what it costs and where it leads;
+    `fails` and `fail_weights` are the failure arcs. The root has an arc for every token.
+    """
+
+    def __init__(self, block: Block, grams: list[Grams], totals: list[np.ndarray], n: int, v: int, n_texts: int, prior: float) -> None:
+        self.words, order = len(block.words), len(grams)
+        first = np.cumsum(block.sizes) - block.sizes
+        base = np.cumsum([2, *(len(g.hashes) for g in grams[: order - 1])])  # state of the first n-gram of each length
+        states = int(base[-1]) if order > 1 else 2
+        visits = np.zeros(states)
+        visits[1] = n_texts
+        self.fails = np.zeros(states, np.int64)
+        chance = (totals[0] + 0.5) / (n + 0.5 * (v + 1))
+        self.root_weights = np.log10(chance)
+        self.root_targets = np.where(totals[0] > 0, base[0] + np.arange(len(totals[0])), 0) if order > 1 else np.zeros(len(totals[0]), np.int64)
+        keys, weights, targets = [], [], []
+        for length in range(1, order):
+            shorter, longer = grams[length - 1], grams[length]
+            visits[base[length - 1] : base[length - 1] + len(shorter.hashes)] = totals[length - 1]
+            at = np.flatnonzero(longer.of_token >= 0)
+            own = longer.of_token[at]
+            state, suffix, token = (np.zeros(len(longer.hashes), np.int64) for _ in range(3))
+            before = np.roll(shorter.of_token, 1) + base[length - 1]
+            if length == 1:
+                before[first] = 1
+            state[own], suffix[own], token[own] = before[at], shorter.of_token[at], block.tokens[at]
+            if length < order - 1:
+                self.fails[base[length] : base[length] + len(suffix)] = base[length - 1] + suffix
+                target = base[length] + np.arange(len(suffix))
+            else:
+                target = base[length - 1] + suffix
+            # An n-gram that occurs in training has a state before its last token, and so has its end.
+            chance = (totals[length] + prior * chance[suffix]) / (visits[state] + prior)
+            real = np.flatnonzero(totals[length] > 0)
+            keys.append(state[real] * self.words + token[real])
+            weights.append(np.log10(chance[real]))
+            targets.append(target[real])
+        self.fail_weights = np.log10(prior / (visits + prior))
+        self.keys = np.concatenate([*keys, [np.iinfo(np.int64).max]])
+        by_key = np.argsort(self.keys)
+        self.keys = self.keys[by_key]
+        self.weights, self.targets = np.concatenate([*weights, [0.0]])[by_key], np.concatenate([*targets, [0]]).astype(np.int64)[by_key]
+        self.order, self.start = order, int(order > 1)
+
+    def step(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight of reading a token in each state, the states after it)."""
+        weight, after, states = np.zeros(len(states)), np.zeros(len(states), np.int64), states.copy()
+        left = np.arange(len(states))
+        while len(left):
+            own = states[left]
+            key = np.where(own > 0, own * self.words + tokens[left], -1)
+            arc = np.searchsorted(self.keys, key)
+            hit, root = self.keys[arc] == key, own == 0
+            taken = left[hit]
+            weight[taken] += self.weights[arc[hit]]
+            after[taken] = self.targets[arc[hit]]
+            taken = left[root]
+            weight[taken] += self.root_weights[tokens[taken]]
+            after[taken] = self.root_targets[tokens[taken]]
+            left = left[~hit & ~root]
+            weight[left] += self.fail_weights[states[left]]
+            states[left] = self.fails[states[left]]
+        return weight, after
+
+    def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Weight of each token's step. Long texts are cut into stretches; the state depends on the order - 1 tokens before
+        only, so a stretch that does not start its text reads those first, from the root."""
+        steps = np.zeros(len(tokens))
+        pieces = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = (np.cumsum(sizes) - sizes)[text] + nth * STRETCH
+        length = np.minimum(sizes[text] - nth * STRETCH, STRETCH)
+        longest = np.argsort(-length, kind="stable")
+        begin, length, nth = begin[longest], length[longest], nth[longest]
+        states = np.where(nth == 0, self.start, 0)
+        inner = np.flatnonzero(nth > 0)
+        for back in range(self.order - 1, 0, -1):
+            states[inner] = self.step(states[inner], tokens[begin[inner] - back])[1]
+        for j in range(int(length[0]) if len(length) else 0):
+            going = np.searchsorted(-length, -j)  # those with a token left
+            at = begin[:going] + j
+            steps[at], states[:going] = self.step(states[:going], tokens[at])
+        return steps
 
 
 def traverse(block: Block, grams: list[Grams], totals: list[np.ndarray], n: int, v: int, n_texts: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -235,38 +411,26 @@ def traverse(block: Block, grams: list[Grams], totals: list[np.ndarray], n: int,
 
     `totals` has the training counts of each length's n-grams by local number.
     """
-    first = np.cumsum(block.sizes) - block.sizes
-    at_root = np.log10((totals[0] + 0.5) / (n + 0.5 * (v + 1)))[block.tokens]
-    weight = at_root
-    for length in range(1, len(grams)):
-        before = np.roll(grams[length - 1].of_token, 1)
-        visits = np.where(before >= 0, totals[length - 1][before], 0.0)
-        visits[first] = n_texts if length == 1 else 0.0
-        own = grams[length].of_token
-        arc = np.where(own >= 0, totals[length][own], 0.0) if len(totals[length]) else np.zeros(len(own))
-        with_arc = np.log10((arc + prior * 10.0**weight) / (visits + prior))
-        failing = np.log10(prior / (visits + prior)) + weight  # no cost where there is no such state
-        weight = np.where((arc > 0) & (visits > 0), with_arc, failing)
-    return weight, at_root
-
-
-def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, bucket_keys: int = 2_000_000) -> DataFrame:
+    automaton = Automaton(block, grams, totals, n, v, n_texts, prior)
+    return automaton.traverse(block.tokens, block.sizes), automaton.root_weights[block.tokens]
+
+
+def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, range_keys: int = 4_000_000, fan_bits: int = FAN_BITS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32(id as text) mod `folds` is not `fold` train the model. `order` is n, `prior` is k above.
     """
     blocks = written(tokenised(df, folds, fold, id_col, text_col, block_bytes), "lm-blocks")
-    facts = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("texts")).first()
-    sizes = [max(12, -(-(facts[c] or 0) // bucket_keys)) for c in ("words", *["tokens"] * (order - 1))]
-    answers = written(counted(blocks, sizes, folds, fold), "lm-counts")
+    facts = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("texts"), F.count(F.lit(1)).alias("blocks")).first()
+    radix = Radix.of(facts["tokens"] or 0, range_keys, fan_bits)
+    answers, v = resolved(requests(blocks, radix, order, folds, fold), radix, 1, max(1, facts["blocks"]), order)
     n, texts = facts["n"] or 0, facts["texts"] or 0
-    v = answers.where("kind = 0").agg(F.sum("distinct")).first()[0] or 0
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def scored(asked: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[pa.Table] = []
-        parts = sorted(told.select(["kind", "bucket", "n", "width", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        parts = sorted(told.select(["kind", "range", "n", "width", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["range"]))
         for row in asked.to_pylist():
             block = Block.of_row(row, folds, fold)
             grams, totals = block.grams(order), []
@@ -280,6 +444,7 @@ def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: f
             rows.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
         return pa.concat_tables(rows)
 
-    held = blocks.select("block", "docs", "sizes", "n_words", "width", "tokens", "words")
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
+    parts = min(max(1, 2 * facts["blocks"]), MOST_PARTS)
+    held = blocks.select("block", "docs", "sizes", "n_words", "width", "tokens", "words").repartition(parts, "block")
+    told = answers.select(F.col("asker").alias("block"), "kind", "range", "n", "width", "counts").repartition(parts, "block")
+    return held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -47,9 +47,10 @@ def brute(given, prior, order):
         yield d, held(d), len(own), sum(count[w] > 0 for w in own), n, base, score
 
 
-def test_scores_equal_brute_force(spark):
-    for order, block_bytes, bucket_keys in ((3, 1 << 20, 2_000_000), (3, 3000, 50), (2, 3000, 50), (1, 3000, 50), (4, 3000, 500)):
-        got = ngram_lm.score(documents(spark), order, prior=100.0, block_bytes=block_bytes, bucket_keys=bucket_keys).collect()
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "STRETCH", 7)
+    for order, block_bytes, range_keys, fan_bits in ((3, 1 << 20, 4_000_000, 6), (3, 3000, 50, 3), (2, 3000, 500, 2), (1, 3000, 50, 6), (4, 3000, 500, 4)):
+        got = ngram_lm.score(documents(spark), order, prior=100.0, block_bytes=block_bytes, range_keys=range_keys, fan_bits=fan_bits).collect()
         expected = sorted(brute(rows(), 100.0, order), key=lambda r: key(r[:5] + (round(r[5], 4),)))
         got = sorted(map(tuple, got), key=lambda r: key(r[:5] + (round(r[5], 4),)))
         assert [r[:5] for r in got] == [r[:5] for r in expected]
@@ -77,6 +78,18 @@ def test_each_state_is_a_distribution():
         assert math.isclose(total, 1.0)
 
 
+def test_levels_keep_ranges_bounded_and_rows_linear():
+    for entries in (0, 1, 10**8, 10**10, 10**13):
+        radix = ngram_lm.Radix.of(entries, 4_000_000)
+        assert entries <= 4_000_000 * radix.ranges
+        assert radix.levels == 1 or entries > 4_000_000 * radix.ranges >> radix.fan_bits
+        keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 5000, np.uint64) >> np.uint64(64 - radix.kept(1)))
+        rows = radix.requests(1, 0, 9, keys, np.ones(5000, np.uint64), 1)
+        assert len(rows) <= 1 << radix.fan_bits
+        read, counts = radix.read([dict(zip(ngram_lm._names(ngram_lm.ASK), r)) for r in rows], 1)
+        assert (read == keys).all() and counts.sum() == 5000
+
+
 def test_planes_round_trip():
     for values in (np.array([0], np.uint64), np.array([2**64 - 1, 5], np.uint64), np.arange(70_000, dtype=np.uint64)):
         width = ngram_lm._width(values)

@@ -22,9 +22,20 @@ SPACES = " \t\n\x0b\x0c\r"
 _caches: dict[str, Callable[[], None]] = {}
 
 
+#: Arrays from this size on are mapped one by one, so that memory goes back to the system as soon as they are let go.
+_MAPPED_BYTES = 4 << 20
+_M_MMAP_THRESHOLD = -3
+
+
+def _lean_allocator() -> None:
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, _MAPPED_BYTES)
+
+
 def claim_worker(name: str, empty: Callable[[], None] | None = None) -> None:
     """Called first by each Arrow function: Python workers are reused by later stages, so the caches that other
     operators have left in this one are emptied, and the memory goes back to the system."""
+    _lean_allocator()
     others = [n for n in _caches if n != name]
     for n in others:
         _caches.pop(n)()

@@ -93,6 +93,13 @@ class Grams:
     sorted_hashes: np.ndarray
     counts: np.ndarray
     rank: np.ndarray
+    n: int
+
+    def totals(self, told: np.ndarray) -> np.ndarray:
+        """Counts in the order of the sorted hashes as counts by local number; what only asking needs is let go."""
+        found = told[self.rank].astype(np.float64) if self.n else np.zeros(0)
+        self.hashes = self.sorted_hashes = self.counts = self.rank = np.zeros(0)
+        return found
 
 
 class Block:
@@ -142,20 +149,20 @@ class Block:
                 has = np.ones(len(self.tokens), bool)
             else:
                 has = place >= length - 1
-                before = np.roll(found[-1].of_token, 1)
+                before = np.roll(found[-1].of_token, 1).astype(np.int64)
                 known = found[-1].hashes
                 if length == 1:
                     before[first] = len(self.words)
                     known = np.append(known, _mix(np.array([0x5354415254], np.uint64)))
                 pairs, inverse = np.unique(before[has] * n + self.tokens[has], return_inverse=True)
                 hashes = _mix(known[pairs // n] + self.words[pairs % n] * np.uint64(0x9E3779B97F4A7C15))
-                which = np.full(len(self.tokens), -1)
+                which = np.full(len(self.tokens), -1, np.int32)
                 which[has] = inverse
             by_hash = np.argsort(hashes)
-            rank = np.empty(len(by_hash), np.int64)
+            rank = np.empty(len(by_hash), np.int32)
             rank[by_hash] = np.arange(len(by_hash))
             counts = np.bincount(rank[which[has & self.train]], minlength=len(by_hash))
-            found.append(Grams(hashes, which, hashes[by_hash], counts, rank))
+            found.append(Grams(hashes, which, hashes[by_hash], counts, rank, len(by_hash)))
         return found
 
 
@@ -327,41 +334,44 @@ class Automaton:
     def __init__(self, block: Block, grams: list[Grams], totals: list[np.ndarray], n: int, v: int, n_texts: int, prior: float) -> None:
         self.words, order = len(block.words), len(grams)
         first = np.cumsum(block.sizes) - block.sizes
-        base = np.cumsum([2, *(len(g.hashes) for g in grams[: order - 1])])  # state of the first n-gram of each length
+        base = np.cumsum([2, *(g.n for g in grams[: order - 1])])  # state of the first n-gram of each length
         states = int(base[-1]) if order > 1 else 2
         visits = np.zeros(states)
         visits[1] = n_texts
-        self.fails = np.zeros(states, np.int64)
+        self.fails = np.zeros(states, np.int32)
         chance = (totals[0] + 0.5) / (n + 0.5 * (v + 1))
         self.root_weights = np.log10(chance)
         self.root_targets = np.where(totals[0] > 0, base[0] + np.arange(len(totals[0])), 0) if order > 1 else np.zeros(len(totals[0]), np.int64)
-        keys, weights, targets = [], [], []
+        arcs = []
         for length in range(1, order):
             shorter, longer = grams[length - 1], grams[length]
-            visits[base[length - 1] : base[length - 1] + len(shorter.hashes)] = totals[length - 1]
-            at = np.flatnonzero(longer.of_token >= 0)
+            visits[base[length - 1] : base[length - 1] + shorter.n] = totals[length - 1]
+            at = np.flatnonzero(longer.of_token >= 0).astype(np.int32)
             own = longer.of_token[at]
-            state, suffix, token = (np.zeros(len(longer.hashes), np.int64) for _ in range(3))
+            state, suffix, token = (np.zeros(longer.n, np.int32) for _ in range(3))
             before = np.roll(shorter.of_token, 1) + base[length - 1]
             if length == 1:
                 before[first] = 1
             state[own], suffix[own], token[own] = before[at], shorter.of_token[at], block.tokens[at]
-            if length < order - 1:
-                self.fails[base[length] : base[length] + len(suffix)] = base[length - 1] + suffix
-                target = base[length] + np.arange(len(suffix))
-            else:
-                target = base[length - 1] + suffix
+            del at, own, before
             # An n-gram that occurs in training has a state before its last token, and so has its end.
             chance = (totals[length] + prior * chance[suffix]) / (visits[state] + prior)
             real = np.flatnonzero(totals[length] > 0)
-            keys.append(state[real] * self.words + token[real])
-            weights.append(np.log10(chance[real]))
-            targets.append(target[real])
+            keys = state[real] * np.int64(self.words) + token[real]
+            del state, token
+            by_key = np.argsort(keys)
+            keys, real = keys[by_key], real[by_key]
+            del by_key
+            if length < order - 1:
+                self.fails[base[length] : base[length] + len(suffix)] = base[length - 1] + suffix
+                targets = base[length] + real
+            else:
+                targets = base[length - 1] + suffix[real]
+            # States of longer contexts have higher numbers, so all keys ascend.
+            arcs.append((keys, np.log10(chance[real]), targets.astype(np.int32)))
         self.fail_weights = np.log10(prior / (visits + prior))
-        self.keys = np.concatenate([*keys, [np.iinfo(np.int64).max]])
-        by_key = np.argsort(self.keys)
-        self.keys = self.keys[by_key]
-        self.weights, self.targets = np.concatenate([*weights, [0.0]])[by_key], np.concatenate([*targets, [0]]).astype(np.int64)[by_key]
+        arcs.append((np.array([np.iinfo(np.int64).max]), np.zeros(1), np.zeros(1, np.int32)))
+        self.keys, self.weights, self.targets = (np.concatenate(x) for x in zip(*arcs))
         self.order, self.start = order, int(order > 1)
 
     def step(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +380,7 @@ class Automaton:
         left = np.arange(len(states))
         while len(left):
             own = states[left]
-            key = np.where(own > 0, own * self.words + tokens[left], -1)
+            key = np.where(own > 0, own * np.int64(self.words) + tokens[left], -1)
             arc = np.searchsorted(self.keys, key)
             hit, root = self.keys[arc] == key, own == 0
             taken = left[hit]
@@ -429,6 +439,7 @@ def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: f
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def scored(asked: pa.Table, told: pa.Table) -> pa.Table:
+        claim_worker("ngram_lm")
         rows: list[pa.Table] = []
         parts = sorted(told.select(["kind", "range", "n", "width", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["range"]))
         for row in asked.to_pylist():
@@ -436,7 +447,7 @@ def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: f
             grams, totals = block.grams(order), []
             for kind in range(order):
                 told_of = [_expand(p["counts"], p["n"], p["width"]) for p in parts if p["kind"] == kind]
-                totals.append(np.concatenate(told_of).astype(np.float64)[grams[kind].rank] if told_of else np.zeros(0))
+                totals.append(grams[kind].totals(np.concatenate(told_of) if told_of else np.zeros(0)))
             steps, base = traverse(block, grams, totals, n, v, texts, prior)
             starts = np.cumsum(block.sizes) - block.sizes
             known = np.add.reduceat((totals[0][block.tokens] > 0).astype(np.int64), starts)

@@ -53,6 +53,8 @@ FAN_BITS = 6
 STRETCH = 512
 #: Partitions of an exchange at most; beyond, a task answers several ranges one after the other.
 MOST_PARTS = 50_000
+#: A partition has about as many keys, if its ranges are small.
+PART_KEYS = 1_000_000
 
 
 def _squeeze(values: np.ndarray, width: int) -> bytes:
@@ -260,13 +262,14 @@ def _told(asked: list[dict], every: np.ndarray, distinct: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ANSWER_KINDS)], names=_names(ANSWER))
 
 
-def _by_range(asked: DataFrame, ranges: int, orders: int) -> DataFrame:
-    """Each (kind, range) in a partition of its own, addressed by number, as far as MOST_PARTS goes."""
-    part = F.pmod(F.col("kind") * F.lit(ranges).cast("long") + F.col("range"), F.lit(min(ranges * orders, MOST_PARTS)).cast("long")).cast("int")
-    return asked.withColumn("part", part).repartitionById(min(ranges * orders, MOST_PARTS), F.col("part"))
+def _by_range(asked: DataFrame, ranges: int, orders: int, entries: int) -> DataFrame:
+    """Ranges in partitions addressed by number: one each, as far as MOST_PARTS goes, or several where they are small."""
+    parts = min(ranges * orders, MOST_PARTS, max(8, orders * entries // PART_KEYS))
+    part = F.pmod(F.col("kind") * F.lit(ranges).cast("long") + F.col("range"), F.lit(parts).cast("long")).cast("int")
+    return asked.withColumn("part", part).repartitionById(parts, F.col("part"))
 
 
-def resolved(asked: DataFrame, radix: Radix, level: int, askers: int, orders: int) -> tuple[DataFrame, int]:
+def resolved(asked: DataFrame, radix: Radix, level: int, askers: int, orders: int, entries: int) -> tuple[DataFrame, int]:
     """(ANSWER to each request of the level, number of distinct words with a training count); a range has at most `askers` requests."""
     if level == radix.levels:
 
@@ -277,7 +280,7 @@ def resolved(asked: DataFrame, radix: Radix, level: int, askers: int, orders: in
             total = _added(which, len(distinct), counts)
             return _told(rows, total[which], int(np.count_nonzero(total)))
 
-        told = written(_by_range(asked, radix.ranges, orders).groupBy("part", "kind", "range").applyInArrow(totals, ANSWER), "lm-counts")
+        told = written(_by_range(asked, radix.ranges, orders, entries).groupBy("part", "kind", "range").applyInArrow(totals, ANSWER), "lm-counts")
         return told, told.where("kind = 0").agg(F.sum("distinct")).first()[0] or 0
 
     nodes = -(-askers >> radix.fan_bits)
@@ -293,7 +296,7 @@ def resolved(asked: DataFrame, radix: Radix, level: int, askers: int, orders: in
         below = radix.requests(rows[0]["kind"], rows[0]["range"], group.column("node")[0].as_py(), distinct, _added(which, len(distinct), counts), level + 1)
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*below), ASK_KINDS)], names=_names(ASK))
 
-    told, v = resolved(shares.groupBy(*keys_).applyInArrow(merge, ASK), radix, level + 1, nodes, orders)
+    told, v = resolved(shares.groupBy(*keys_).applyInArrow(merge, ASK), radix, level + 1, nodes, orders, entries)
 
     def pass_on(group: pa.Table, told: pa.Table) -> pa.Table:
         rows = group.select(_names(ASK)).to_pylist()
@@ -431,9 +434,9 @@ def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: f
     Rows whose crc32(id as text) mod `folds` is not `fold` train the model. `order` is n, `prior` is k above.
     """
     blocks = written(tokenised(df, folds, fold, id_col, text_col, block_bytes), "lm-blocks")
-    facts = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("texts"), F.count(F.lit(1)).alias("blocks")).first()
+    facts = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("texts"), F.count(F.lit(1)).alias("blocks"), (F.max(F.shiftright("block", 24)) + 1).alias("tasks"), (F.max(F.col("block").bitwiseAND(F.lit((1 << 24) - 1))) + 1).alias("most")).first()
     radix = Radix.of(facts["tokens"] or 0, range_keys, fan_bits)
-    answers, v = resolved(requests(blocks, radix, order, folds, fold), radix, 1, max(1, facts["blocks"]), order)
+    answers, v = resolved(requests(blocks, radix, order, folds, fold), radix, 1, max(1, facts["blocks"]), order, facts["tokens"] or 0)
     n, texts = facts["n"] or 0, facts["texts"] or 0
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -455,7 +458,9 @@ def score(df: DataFrame, order: int = 3, folds: int = 5, fold: int = 1, prior: f
             rows.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
         return pa.concat_tables(rows)
 
-    parts = min(max(1, 2 * facts["blocks"]), MOST_PARTS)
-    held = blocks.select("block", "docs", "sizes", "n_words", "width", "tokens", "words").repartition(parts, "block")
-    told = answers.select(F.col("asker").alias("block"), "kind", "range", "n", "width", "counts").repartition(parts, "block")
-    return held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # A partition for each block, addressed by number, unless few tasks have most of the blocks.
+    tasks, parts = facts["tasks"] or 1, min(max(1, (facts["tasks"] or 1) * (facts["most"] or 1)), 2 * facts["blocks"] + 1, MOST_PARTS)
+    part = F.pmod(F.col("block").bitwiseAND(F.lit((1 << 24) - 1)) * tasks + F.shiftright("block", 24), F.lit(parts).cast("long")).cast("int")
+    held = blocks.select("block", "docs", "sizes", "n_words", "width", "tokens", "words", part.alias("part")).repartitionById(parts, F.col("part"))
+    told = answers.withColumnRenamed("asker", "block").select("block", "kind", "range", "n", "width", "counts", part.alias("part")).repartitionById(parts, F.col("part"))
+    return held.groupBy("part", "block").cogroup(told.groupBy("part", "block")).applyInArrow(scored, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

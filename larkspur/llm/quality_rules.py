@@ -1,16 +1,16 @@
 """Quality rules, line first, in DataFrame functions only.
 
 Each line of a text is held against four rules: it must end a sentence somewhere (punctuation), it
-must not be a row of separators (navigation), must not be a short line with a stock phrase
-(boilerplate), and must not be full of symbols. Failing lines are removed; a document that loses
+must not be a row of separators (navigation), must not be a short line with a stock phrase as words of
+its own (boilerplate), and must not be full of symbols. Failing lines are removed; a document that loses
 too large a share of its characters is rejected. Document-level base figures are kept beside it.
 
 Everything happens inside a row: no shuffle, no Python. Repeated windows of words are found by
 sorting window hashes within the text, n log n in its length.
 
 Defined results: a null text has no words and one empty line, so its figures are zero and it is
-rejected (fewer than 20 words); blank lines pass every rule; repeated rows each give a row; input
-columns are kept whatever their names, the verdict is one struct column.
+rejected (fewer than 20 words); blank lines pass every rule; repeated rows each give a row; an empty table
+gives no rows; input columns are kept, but for one named as the verdict, which is replaced by that struct.
 """
 
 from __future__ import annotations
@@ -18,11 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACE_CLASS
+from larkspur.llm.common import SPACE_CLASS, unused
 
 WINDOW = 8
-#: Stock phrases of page furniture (fixed values).
-PHRASES = ["all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "accept cookies", "enable javascript", "sign up", "log in", "subscribe to our newsletter", "click here", "read more", "share this", "back to top", "skip to content", "powered by"]
+#: Stock phrases of page furniture in English, German, French and Spanish (fixed values).
+PHRASES = [
+    "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "accept cookies", "enable javascript", "sign up", "log in",
+    "subscribe to our newsletter", "click here", "read more", "share this", "back to top", "skip to content", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "jetzt anmelden", "newsletter abonnieren", "hier klicken",
+    "weiterlesen", "nach oben", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies", "se connecter", "s'inscrire",
+    "abonnez-vous à notre newsletter", "cliquez ici", "lire la suite", "haut de page", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aceptar cookies", "iniciar sesión", "suscríbete a nuestro boletín",
+    "haz clic aquí", "leer más", "volver arriba", "saltar al contenido",
+]
+#: A phrase in lower case, with neither a letter nor a digit on either side.
+BOILERPLATE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(PHRASES) + r")(?:$|[^\p{L}\p{N}])"
 SENTENCE_END = r"""[.!?…。！？]["')\]»”’]*(?:[ \t-\r]|$)"""
 SEPARATORS = "[|»›•·]"
 SYMBOLS = "[#*$%&|<>{}\\\\^~=]"
@@ -66,7 +77,7 @@ def line_fails(line: Column) -> Column:
     full = F.length(line)
     separators = _count(line, SEPARATORS)
     navigation = (separators >= 3) & (separators * 4 >= _count(line, " ") + 1)
-    boilerplate = (full < 200) & F.lower(line).rlike("|".join(PHRASES))
+    boilerplate = (full < 200) & F.lower(line).rlike(BOILERPLATE)
     symbols = _count(line, SYMBOLS) * 10 > full
     return line.rlike(r"[^ \t-\r]") & (~line.rlike(SENTENCE_END) | navigation | boilerplate | symbols)
 
@@ -79,16 +90,17 @@ def assess(df: DataFrame, text_col: str = "text", least_words: int = 20, most_re
     unless a base rule fails or more than `most_lost` per cent of its characters are in removed lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = unused(df, out_col)
     staged = df.select("*", F.struct(
         text.alias("text"),
         F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "").alias("words"),
         F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), line_fails(line).alias("fails"))).alias("lines"),
-    ).alias(out_col))
-    at = F.col(out_col)
+    ).alias(own))
+    at = F.col(own)
     words, lines = at["words"], at["lines"]
     worded = F.filter(lines, lambda x: x["line"].rlike(r"[^ \t-\r]"))
     removed = F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(x["fails"], F.length(x["line"])).otherwise(0))
-    figures = staged.withColumn(out_col, F.struct(
+    figures = staged.withColumn(own, F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         _count(at["text"], "[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -102,7 +114,8 @@ def assess(df: DataFrame, text_col: str = "text", least_words: int = 20, most_re
     ))
     failed = (at["n_words"] < least_words) | (at["n_repeat_words"] * 100 > at["n_words"] * most_repeated)
     kept = ~failed & (at["chars_removed"] * 100 <= at["n_chars"] * most_lost)
-    return figures.withColumn(out_col, at.withField("base_failed", failed).withField("kept", kept))
+    judged = figures.withColumn(own, at.withField("base_failed", failed).withField("kept", kept))
+    return judged.drop(out_col).withColumnRenamed(own, out_col) if own != out_col else judged
 
 
 #: DuckDB SQL of the query, with the same rules.
@@ -130,7 +143,7 @@ WITH d AS (
   SELECT rid, l, len, worded, worded AND (
            NOT regexp_matches(l, '{SENTENCE_END.replace("'", "''").replace("t-", "x09-").replace(chr(92) + "r", chr(92) + "x0d")}')
            OR (seps >= 3 AND seps * 4 >= blanks + 1)
-           OR (len < 200 AND regexp_matches(lower(l), '{"|".join(PHRASES)}'))
+           OR (len < 200 AND regexp_matches(lower(l), '{BOILERPLATE.replace("'", "''")}'))
            OR syms * 10 > len) AS fails
   FROM line
 ), lines AS (

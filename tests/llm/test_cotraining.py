@@ -1,7 +1,11 @@
+import math
 import random
+import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from larkspur.llm import cotraining
 from tests.llm.fixtures import documents, rows
 
@@ -32,6 +36,91 @@ def test_held_out_accuracy_and_exchange(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, k in got.items() if k}
 
 
+def logistic(x, y, weight):
+    """Ridge logistic regression on standardised columns by damped Newton steps; returns the function of its logit."""
+    mean, spread = x.mean(0), x.std(0)
+    spread = np.where(spread < 1e-6, np.inf, spread)
+    scaled = lambda q: np.hstack([(q - mean) / spread, np.ones((len(q), 1))])
+    z, w = scaled(x), np.zeros(x.shape[1] + 1)
+    ridge = np.diag([1.0] * x.shape[1] + [1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        gradient = ridge @ w - sum(weight[i] * (y[i] - p[i]) * z[i] for i in range(len(z)))
+        hessian = ridge + z.T @ np.diag(weight * p * (1 - p)) @ z
+        w = w - np.linalg.solve(hessian, gradient)
+    return lambda q: np.clip(scaled(q) @ w, -30, 30)
+
+
+def brute_scores(found, labels, rounds, per_round, confidence):
+    """Co-training over all rows at once, one document after the other."""
+    given = sorted({r[0]: r for r in found}.values())
+    views = [cotraining.text_features([r[1] for r in given]).astype(float), cotraining.metadata_features([r[3] for r in given], [r[2] for r in given], [r[4] for r in given]).astype(float)]
+    y = dict(labels)
+    hold = {i for i in y if zlib.crc32(f"hold{i}".encode()) % 4 == 0}
+    prior = np.mean(list(y.values()))
+    sets = [{i: (t, 1.0) for i, t in y.items() if i not in hold} for _ in views]
+    place = {r[0]: k for k, r in enumerate(given)}
+
+    def fitted(v):
+        rows = [place[i] for i in sets[v]]
+        return logistic(views[v][rows], np.array([sets[v][i][0] for i in sets[v]]), np.array([sets[v][i][1] for i in sets[v]]))
+
+    models = [fitted(0), fitted(1)]
+    for _ in range(rounds):
+        logits = [m(x) for m, x in zip(models, views)]
+        lessons = []
+        for teacher in (0, 1):
+            for label in (1, 0):
+                sure = sorted((round(-logits[teacher][place[i]] * (1 if label else -1), 9), i) for i in place if i not in y and i not in sets[1 - teacher])
+                k = max(1, round(per_round * (prior if label else 1 - prior)))
+                lessons.append((1 - teacher, label, [i for s, i in sure if -s >= math.log(confidence / (1 - confidence))][:k]))
+        for pupil, label, ids in lessons:
+            sets[pupil] |= {i: (label, 0.5) for i in ids}
+        if not any(ids for *_, ids in lessons):
+            break
+        models = [fitted(0), fitted(1)]
+    rows, t, ones = [place[i] for i in sorted(hold)], np.array([y[i] for i in sorted(hold)]), np.ones(len(hold))
+    logits = [m(x)[:, None] for m, x in zip(models, views)]
+    own = np.hstack([logistic(x[rows], t, ones)(x)[:, None] for x in logits])
+    return {r[0]: p for r, p in zip(given, 1 / (1 + np.exp(-logistic(own[rows], t, ones)(own))))}
+
+
+def test_scores_equal_brute_force(spark):
+    found, labels = corpus(240)
+    known = [(i, y) if i % 11 else (i, 1 - y) for i, y in labels if i % 2]  # some wrong labels, so that no class is free of doubt
+    df = documents(spark, found)
+    for rounds, per_round, confidence in ((3, 12, 0.8), (2, 1000, 0.6)):
+        model = cotraining.fit(df, spark.createDataFrame(known, "doc_id long, quality int"), rounds=rounds, per_round=per_round, confidence=confidence)
+        expected = brute_scores(found, known, rounds, per_round, confidence)
+        got = {r.doc_id: r.score for r in cotraining.score(df, model).collect()}
+        assert min(model.exchanged) > 0
+        assert max(abs(got[i] - expected[i]) for i in expected) < 1e-5
+
+
+def test_filter_and_score_agree_whatever_the_types(spark):
+    found, labels = corpus(200)
+    df = documents(spark, found).withColumn("source", F.expr("cast(substr(source, 4) as int)")).withColumn("_view_text", F.lit(1))
+    model = cotraining.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r.doc_id for r in cotraining.score(df, model).collect() if r.keep}
+    assert 0 < len(kept) < 200
+    out = cotraining.filtered(df, model)
+    assert out.schema == df.schema and {r.doc_id for r in out.collect()} == kept
+
+
+def test_any_document_may_be_taught(spark):
+    """Pseudo-labels go to the surest of all documents, wherever they are, and repeated ones are taught once."""
+    r = np.random.default_rng(5)
+    text = r.normal(size=(3000, cotraining.STYLE + cotraining.PAIRS)).astype(np.float32)
+    meta = r.normal(size=(3000, cotraining.SOURCES + cotraining.LANGS + 3)).astype(np.float32)
+    views = [cotraining.Logistic(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.append(r.normal(size=x.shape[1]), 0.0)) for x in (text, meta)]
+    pool = spark.createDataFrame([(i, bytearray(t.tobytes()), bytearray(m.tobytes())) for i, (t, m) in enumerate(zip(text, meta))], "_id long, text binary, meta binary").repartition(7)
+    taken = ({5, 6, 7}, set(range(0, 3000, 2)))
+    found = cotraining.chooser(pool)(views, taken, [40, 1, 3000, 7], 2.0)
+    for (_, pupil, _), sure, k, (ids, *_) in zip(cotraining.LESSONS, cotraining.sureness(views, (text, meta)), [40, 1, 3000, 7], found):
+        expected = sorted((-s, i) for i, s in enumerate(sure) if s >= 2.0 and i not in taken[pupil])[:k]
+        assert ids.tolist() == [i for _, i in expected]
+
+
 def test_probabilities_are_calibrated(spark):
     found, labels = corpus()
     model = cotraining.fit(documents(spark, found), spark.createDataFrame(labels, "doc_id long, quality int"))

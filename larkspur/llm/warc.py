@@ -1,6 +1,6 @@
 """WARC: a deterministic sharded writer, and a reader of its archives.
 
-Records are ordered by page id. Shards are ranges of ids with about equal payload bytes, taken from
+Records are ordered by page id and digest. Shards are ranges of both with about equal payload bytes, taken from
 exact prefix sums, so the same input gives the same shards, files and bytes whatever the number of
 executors. A shard's writer streams its sorted rows, regenerates headers and digests, writes one gzip
 member per record, rolls to a new file once the compressed size is reached, and moves each file from
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import re
 import uuid
 import zlib
@@ -30,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import qualified, scratch_path, slices, written
+from larkspur.llm.common import claim_worker, qualified, scratch_path, slices, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("8d0f6f6e-51b3-4c0f-9a58-5f7e0a6f2b11")
@@ -107,34 +108,40 @@ class _Roll:
         final = f"{self.root}/{self.name}"
         try:
             self.fs.move(self.temporary, final)
-        except OSError:  # another attempt of this task has put the same bytes there
-            self.fs.delete_file(final)
-            self.fs.move(self.temporary, final)
+        except OSError:
+            # Another attempt of this task has put the same bytes there; names appear whole, so they stay.
+            if self.fs.get_file_info(final).type != pyarrow.fs.FileType.File:
+                raise
+            self.fs.delete_file(self.temporary)
         self.done.append((self.name, self.shard, self.sequence, self.records, self.size, self.sum.hexdigest(), self.first, self.last))
         self.sequence += 1
         self.out = None
 
 
-def _shard_of(page: Column, bounds: list[int]) -> Column:
-    """Number of the range that holds a page id: binary search among the ranges' first ids; nulls go to the first."""
+def _shard_of(page: Column, digest: Column, bounds: list[tuple[int | None, str]]) -> Column:
+    """Number of the range that holds a record: binary search among the ranges' first ids and digests; null ids come first."""
     if len(bounds) < 2:
         return F.lit(0)
-    at, edges = F.lit(0), F.array(*[F.lit(b).cast("long") for b in bounds]) if len(bounds) < 64 else F.from_json(F.lit(str(bounds)), "array<long>")
+    edges = F.from_json(F.lit(json.dumps([{"p": p, "d": d} for p, d in bounds])), "array<struct<p: long, d: string>>")
+    own = F.struct(page.alias("p"), digest.alias("d"))
     steps = [1 << i for i in range((len(bounds) - 1).bit_length() - 1, -1, -1)]
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), at, lambda lo, s: F.when(F.coalesce(F.get(edges, lo + s) <= page, F.lit(False)), lo + s).otherwise(lo))
-    return F.coalesce(search, F.lit(0))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when(F.coalesce(F.get(edges, lo + s) <= own, F.lit(False)), lo + s).otherwise(lo))
+
 
+def shard_bounds(info: DataFrame, shard_bytes: int, most_shards: int = 20_000) -> list[tuple[int | None, str]]:
+    """First (id, digest) of ranges with about `shard_bytes` of payload each; at most about `most_shards` reach the driver.
 
-def shard_bounds(info: DataFrame, shard_bytes: int, most_shards: int = 20_000) -> list[int]:
-    """First ids of ranges with about `shard_bytes` of payload each; at most about `most_shards` reach the driver."""
+    Beyond that ranges are larger, and their writers roll more files; a sorted range is streamed, so memory stays the same.
+    """
     total = info.agg(F.sum("size")).first()[0] or 0
     target = max(shard_bytes, -(-total // most_shards), 1)
-    known = info.where("page_id is not null").repartitionByRange("page_id").withColumn("part", F.spark_partition_id()).checkpoint()
+    known = info.repartitionByRange("page_id", "digest").withColumn("part", F.spark_partition_id()).checkpoint()
     totals = known.groupBy("part").agg(F.sum("size").alias("total"))  # a row per partition
     base = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     before = F.sum("size").over(Window.partitionBy("part").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    numbered = known.withColumn("before", before).join(F.broadcast(base), "part").select("page_id", F.floor((F.col("base") + F.col("before")) / target).alias("shard"))
-    return sorted({r[0] for r in numbered.groupBy("shard").agg(F.min("page_id")).select("min(page_id)").collect()})
+    numbered = known.withColumn("before", before).join(F.broadcast(base), "part").select("page_id", "digest", F.floor((F.col("base") + F.col("before")) / target).alias("shard"))
+    first = numbered.groupBy("shard").agg(F.min(F.struct("page_id", "digest")).alias("first")).select("first.*").collect()
+    return sorted({(r.page_id, r.digest) for r in first}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_revisit_bytes: int = 0, shard_bytes: int = 16 << 20, roll_bytes: int = 16 << 20, level: int = 1, date: str = "1970-01-01T00:00:00Z") -> tuple[str, DataFrame]:
@@ -151,11 +158,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit_by
     shown = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("winner"))
     notes = referred.select("page_id", "digest", F.lit(0).alias("kind"), nothing.alias("url"), nothing.alias("html"), "winner")
     shards = max(1, len(bounds))
-    dealt = shown.unionByName(notes).withColumn("shard", _shard_of(F.col("page_id"), bounds)).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = shown.unionByName(notes).withColumn("shard", _shard_of(F.col("page_id"), F.col("digest"), bounds)).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     names = ["name", "shard", "sequence", "records", "bytes", "sha256", "first_id", "last_id"]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("warc")
         roll, note, spent = None, None, False
         for whole in batches:
             for b in slices(iter([whole]), "digest", 40 * 512):
@@ -180,11 +188,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit_by
 
     made = dealt.mapInArrow(run, "name string, shard int, sequence int, records long, bytes long, sha256 string, first_id long, last_id long")
     made.write.parquet(f"{folder}/manifest")
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{root}/_temporary").type == pyarrow.fs.FileType.Directory:
+        fs.delete_dir(f"{root}/_temporary")  # what lost attempts have left
     return folder, spark.read.schema(made.schema).parquet(f"{folder}/manifest")
 
 
-def _read_members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The records of a .warc.gz file, one gzip member each."""
+def _read_members(stream, chunk: int = 1 << 14) -> Iterator[bytes]:
+    """The records of a .warc.gz file, one gzip member each. What is left of a chunk is copied for each member, so chunks are small."""
     pending = b""
     inflate, parts = zlib.decompressobj(31), []
     while True:
@@ -223,7 +234,7 @@ def read_archives(folder: str, manifest: DataFrame, with_payload: bool = False)
 
     def rows_of(name: str, size: int, digest: str) -> Iterator[tuple]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        with fs.open_input_stream(f"{root}/{name}", compression=None) as raw:
+        with fs.open_input_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as raw:
             seen = _Summed(raw)
             for record in _read_members(seen):
                 fields, block = parse_record(record)
@@ -241,6 +252,7 @@ def read_archives(folder: str, manifest: DataFrame, with_payload: bool = False)
                 raise ValueError(f"{name}: file does not match the manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("warc")
         for b in batches:
             for name, size, digest in zip(*(b.column(c).to_pylist() for c in ("name", "bytes", "sha256"))):
                 held, weight = [], 0

@@ -51,6 +51,36 @@ def test_same_bytes_from_any_partitioning(spark):
     assert sums[0] == sums[1]
 
 
+def test_null_ids_and_one_id_are_dealt_to_many_shards(spark):
+    for page in (None, 7):
+        df = spark.createDataFrame([(page, "u", f"text {i} " * 50) for i in range(200)], "page_id long, url string, html string")
+        folder, manifest = warc.write_archives(df, shard_bytes=4000)
+        assert manifest.select("shard").distinct().count() > 10
+        assert warc.read_archives(folder, manifest).where("record_type = 'response'").count() == 200
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        assert fs.get_file_info(f"{root}/_temporary").type == pyarrow.fs.FileType.NotFound
+
+
+def test_a_file_that_another_attempt_has_put_there_stays(tmp_path):
+    def refused(self, *_):
+        raise OSError("exists")
+
+    for _ in range(2):
+        roll = warc._Roll(f"file://{tmp_path}", 3, 1 << 20, 1, "1970-01-01T00:00:00Z")
+        roll.write(1, warc.page_record(1, "u", "text", None, False, "1970-01-01T00:00:00Z"))
+        if list(tmp_path.glob("*.gz")):
+            class Fs:
+                def __init__(self, fs):
+                    self.fs = fs
+
+                def __getattr__(self, name):
+                    return refused.__get__(self) if name == "move" else getattr(self.fs, name)
+
+            roll.fs = Fs(roll.fs)
+        roll.close()
+    assert len(list(tmp_path.glob("*.gz"))) == 1 and not list((tmp_path / "_temporary").iterdir())
+
+
 def test_files_are_plain_warc(spark):
     folder, manifest = warc.write_archives(pages(spark))
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -59,7 +89,7 @@ def test_files_are_plain_warc(spark):
             text = gzip.decompress(f.read())
         assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and text.endswith(b"\r\n\r\n")
         assert text.count(b"\r\nWARC-Record-ID: <urn:uuid:") == r.records + 1
-    assert not fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/_temporary"))
+    assert fs.get_file_info(f"{root}/_temporary").type == pyarrow.fs.FileType.NotFound
 
 
 def test_damage_is_noticed(spark):

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: pigeonhole blocks find candidate pairs, the Hamming distance decides.
 
-A fingerprint's bits are split into blocks. Two fingerprints that differ in at most `distance` bits
-differ in at most that many blocks, so they agree on some choice of `blocks - distance` whole
+A fingerprint's bits are split into blocks. Two fingerprints that differ in at most DISTANCE bits
+differ in at most that many blocks, so they agree on some choice of `blocks - DISTANCE` whole
 blocks; each choice with the bits in it is a key, and fingerprints are joined on keys.
 Equal fingerprints are one class before any join, so copies are never paired.
 
@@ -32,6 +32,8 @@ from larkspur.llm.components import connected_components
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 #: bytes.split() without arguments splits on exactly the white space of the word definition.
 BITS = 64
+#: Bits in which linked fingerprints differ at most. It is fixed: the way through common neighbours is exact for 2.
+DISTANCE = 2
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
@@ -91,29 +93,28 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
+def block_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """Masks of every choice of `blocks - distance` of the blocks that the bits are split into."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     own = [sum(1 << b for b in range(i, j)) for i, j in zip(edges, edges[1:])]
     return [sum(choice) for choice in itertools.combinations(own, blocks - distance)]
 
 
-def close_pairs(fps: DataFrame, distance: int = 2, blocks: int = 5, pair_limit: int = 32) -> DataFrame:
-    """Links (fp_a, fp_b) between different fingerprints within `distance` bits that join all that chains of such pairs join.
+def close_pairs(fps: DataFrame, blocks: int = 5, pair_limit: int = 32) -> DataFrame:
+    """Links (fp_a, fp_b) between different fingerprints within DISTANCE bits that join all that chains of such pairs join.
 
     `fps` has distinct values of `fp`. Keys of up to `pair_limit` fingerprints are joined pair by
-    pair; larger ones go through common neighbours (exact for a distance of 2).
+    pair; larger ones go through common neighbours. A key of a third of all fingerprints is split by the
+    adaptive skew join, and its neighbours' least fingerprints are combined in the map tasks.
     """
-    if distance != 2:
-        raise ValueError("distance must be 2")
-    masks = block_masks(blocks, distance)
+    masks = block_masks(blocks)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("choice", "key"))
     shared = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Nearly all keys hold one fingerprint; what is left is written once and read by both ways.
     crowded = keyed.join(shared, ["choice", "key"]).checkpoint()
     few = crowded.where(F.col("n") <= pair_limit)
     left, right = few.select("choice", "key", F.col("fp").alias("fp_a")), few.select("choice", "key", F.col("fp").alias("fp_b"))
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
+    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
     pairs = left.join(right, ["choice", "key"]).where("fp_a > fp_b").where(near).select("fp_a", "fp_b")
     free = [[_signed(1 << b) for b in range(BITS) if not m >> b & 1] for m in masks]
     flips = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in own]) for own in _even(free)]), F.col("choice") + 1)
@@ -130,11 +131,11 @@ def _even(rows: list[list[int]]) -> list[list[int]]:
     return [r + r[:1] * (longest - len(r)) for r in rows]
 
 
-def near_duplicates(df: DataFrame, width: int = 3, seed: int = 42, distance: int = 2, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of every row: linked where fingerprints differ in `distance` bits or fewer."""
+def near_duplicates(df: DataFrame, width: int = 3, seed: int = 42, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of every row: linked where fingerprints differ in DISTANCE bits or fewer."""
     marked = fingerprints(df, width, seed, id_col, text_col).checkpoint()
     classes = marked.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("first")).checkpoint()
-    links = close_pairs(classes.select("fp"), distance, blocks)
+    links = close_pairs(classes.select("fp"), blocks)
     name = classes.select("fp", "first")
     links = links.join(name.withColumnsRenamed({"fp": "fp_a", "first": "a"}), "fp_a").join(name.withColumnsRenamed({"fp": "fp_b", "first": "b"}), "fp_b").select("a", "b")
     lowest = connected_components(links)

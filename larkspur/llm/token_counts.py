@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices
+from larkspur.llm.common import claim_worker, slices
 
 MARK = "▁"
 
@@ -57,6 +57,7 @@ def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     names = [id_col, "n_bytes", "n_tokens", "over_limit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("token_counts")
         p, safe = processor(model)
         for b in slices(batches, "_text", batch_bytes):
             texts = ["" if t is None else t for t in b.column("_text").to_pylist()]

@@ -119,7 +119,9 @@ def test_empty_table(spark):
 def test_shards_by_binary_search(spark):
     from pyspark.sql import functions as F
 
-    for bounds in ([], [5], [0, 10, 20], list(range(0, 700, 7))):
-        df = spark.range(-5, 750).withColumn("s", warc._shard_of(F.col("id"), bounds))
-        for r in df.collect():
-            assert r.s == max([i for i, b in enumerate(bounds) if b <= r.id], default=0)
+    ids = [(None, "b"), *((i, d) for i in range(-5, 750) for d in ("a", "c"))]
+    df = spark.createDataFrame(ids, "id long, d string")
+    place = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    for bounds in ([], [(5, "b")], [(None, "a"), (0, "b"), (10, "c"), (20, "")], [(i, "b") for i in range(0, 700, 7)]):
+        for r in df.withColumn("s", warc._shard_of(F.col("id"), F.col("d"), bounds)).collect():
+            assert r.s == max([i for i, b in enumerate(bounds) if place(b) <= place((r.id, r.d))], default=0)

@@ -2,15 +2,19 @@
 
 A stream is `fLaC`, STREAMINFO (with the MD5 of the samples), a SEEKTABLE that has one point for
 every frame, and the frames. A frame is a CRC-8 guarded header, one subframe (fixed predictor of
-order 0 to 4, or a quantised linear predictor) with partitioned Rice residuals, and a CRC-16.
+order 0 to 2 or a quantised linear predictor with partitioned Rice residuals, a constant, or the samples
+themselves, whichever is shortest), and a CRC-16. Streams of other encoders are read by `flac_plain`.
 
 Frames are independent, so both directions work on many frames at once: the encoder computes all
 residuals and bit positions as arrays; the decoder follows the Rice codes of all frames in
 lockstep (a table of the next stop bit makes one step one look-up) and then runs the predictors
-in lockstep too. Long streams are cut into runs of frames, so memory is bounded by the run.
+in lockstep too. Long streams are cut into runs of frames, so memory is bounded by the run. The PCM blocks that
+are read back keep the sample offsets at which a reader may seek.
 
 Defined results: a null text counts as empty; the payload of an empty text is 64 zero bytes; equal
-payloads give equal streams; extra input columns are ignored; a damaged stream raises an error.
+payloads give equal streams; repeated rows each give a row, a null id as any other; an empty table gives no rows; extra
+input columns are ignored; a damaged stream raises an error; beyond MOST_POINTS frames (0.9 GB) every second, third ...
+frame has a seek point, and the plain reader takes over.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import csr_take, slices
+from larkspur.llm import flac_plain
+from larkspur.llm.common import claim_worker, csr_take, slices
 
 BLOCK = 1024  # samples in a frame; the last one of a stream may be shorter
 UNIT = 64  # payloads are padded to a positive multiple of this
@@ -36,10 +41,16 @@ PARTS = 1 << PARTITION_ORDER
 ORDER = 4  # highest predictor order
 PRECISION, SHIFT = 12, 10  # of quantised predictor coefficients
 RUN = 4096  # frames that are worked on at once
+MOST_POINTS = ((1 << 24) - 1) // 18  # the length of a metadata block has 24 bits
+CONSTANT, VERBATIM = 0, 1  # subframe types (fixed values of the format)
 #: Coefficients of the fixed predictors by order (fixed values of the format).
 FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]], np.int64)
 
 
+class Unsupported(ValueError):
+    """The stream goes beyond what is read many frames at once."""
+
+
 def _crc_table(poly: int, width: int, bits: int) -> np.ndarray:
     """CRC of every `bits`-bit word in front of zeros, for a CRC of `width` bits."""
     crc = np.arange(1 << bits, dtype=np.uint32) << (width - bits if width > bits else 0)
@@ -109,7 +120,7 @@ def _read_header(head: bytes, number: int) -> int:
     """Block size of a checked header."""
     size = BLOCK if head[2] >> 4 == 0b1010 else struct.unpack(">H", head[-3:-1])[0] + 1
     if head != frame_header(number, size):
-        raise ValueError("FLAC frame header: bad sync code, number or CRC-8")
+        raise Unsupported("FLAC frame header: bad sync code, number or CRC-8")
     return size
 
 
@@ -216,14 +227,23 @@ def encode_frames(samples: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nu
     k = np.maximum(k, np.clip(np.ceil(np.log2(np.maximum(largest, 1) / 512.0)), 0, 14).astype(np.int64))
 
     own_k = k[cell]
-    quotient = u >> own_k
-    length = quotient + 1 + own_k
+    length = (u >> own_k) + 1 + own_k
     code_bits = np.bincount(cell, weights=length, minlength=n * PARTS).astype(np.int64).reshape(n, PARTS)
+    constant = ((x == x[:, :1]) | ~inside).all(1)
+    rice_bits = 8 * order + np.where(kind >= 0b100000, 9 + PRECISION * ORDER, 0) + 6 + 4 * PARTS + code_bits.sum(1)
+    verbatim = ~constant & (rice_bits > 8 * sizes)
+    plain = constant | verbatim
+    if plain.any():
+        kind[constant], kind[verbatim], order[plain], code_bits[plain] = CONSTANT, VERBATIM, 0, 0
+        left = ~plain[cell // PARTS]
+        cell, u, own_k, length = cell[left], u[left], own_k[left], length[left]
+        count = np.bincount(cell, minlength=n * PARTS)
+    rice = np.flatnonzero(~plain)
     headers = [frame_header(i, s) for i, s in zip(numbers.tolist(), sizes.tolist())]
     header = np.fromiter(map(len, headers), np.int64, n)
     is_lpc = kind >= 0b100000
     lead = 8 + 8 * order + np.where(is_lpc, 9 + PRECISION * ORDER, 0) + 6
-    body = -(-(lead + 4 * PARTS + code_bits.sum(1)) // 8)
+    body = np.where(constant, 2, np.where(verbatim, 1 + sizes, -(-(lead + 4 * PARTS + code_bits.sum(1)) // 8)))
     frame = header + body + 2
     offsets = np.concatenate([[0], np.cumsum(frame)])
 
@@ -238,15 +258,19 @@ def encode_frames(samples: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nu
     bits.put(at, np.full(len(l), (PRECISION - 1) << 5 | SHIFT), 9)
     for j in range(ORDER):
         bits.put(at + 9 + PRECISION * j, lpc[l, j] & ((1 << PRECISION) - 1), PRECISION)
-    bits.put(sub + lead - 6, np.full(n, PARTITION_ORDER), 6)
+    bits.put(sub[rice] + lead[rice] - 6, np.full(len(rice), PARTITION_ORDER), 6)
+    code_bits = code_bits[rice]
     before = np.cumsum(code_bits + 4, axis=1) - code_bits - 4
-    cell_at = ((sub + lead)[:, None] + before).ravel()
-    bits.put(cell_at, k, 4)
+    cell_at = ((sub + lead)[rice, None] + before).ravel()
+    bits.put(cell_at, k.reshape(n, PARTS)[rice].ravel(), 4)
     # Codes lie one behind the other inside a cell, and cells in order, so only gaps between cells have to be added.
     gap = np.diff(cell_at + 4 - (np.cumsum(code_bits.ravel()) - code_bits.ravel()), prepend=0)
-    ends = np.cumsum(length) + np.repeat(np.cumsum(gap), count)
+    ends = np.cumsum(length) + np.repeat(np.cumsum(gap), count.reshape(n, PARTS)[rice].ravel())
     bits.put(ends - own_k - 1, u & ((1 << own_k) - 1) | 1 << own_k, own_k + 1)
     data = bits.data()
+    for rows, each in ((constant, np.ones(n, np.int64)), (verbatim, sizes)):
+        to = np.flatnonzero(rows)
+        data[csr_take((sub[to] >> 3) + 1, each[to])] = x.ravel()[csr_take(to * BLOCK, each[to])] & 0xFF
     data[csr_take(offsets[:-1], header)] = np.frombuffer(b"".join(headers), np.uint8)
     crc = crc16_of(data, offsets[:-1], frame - 2)
     data[offsets[1:] - 2], data[offsets[1:] - 1] = crc >> 8, crc & 0xFF
@@ -266,12 +290,16 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbe
     sub = 8 * (starts + np.fromiter(map(len, heads), np.int64, n))
     bits, zeros = _words(data), _leading_zeros()
     kind = _get(bits, sub, 8) >> 1
-    is_lpc, fixed = kind >= 0b100000, (kind >> 3) == 1
-    if not (is_lpc | fixed).all():
-        raise ValueError("FLAC subframe: type not supported")
+    if (_get(bits, sub, 8) & 0x81).any():
+        raise Unsupported("FLAC subframe: type not supported")
+    is_lpc, fixed, plain = kind >= 0b100000, (kind >> 3) == 1, kind <= VERBATIM
+    if not (is_lpc | fixed | plain).all():
+        raise Unsupported("FLAC subframe: type not supported")
+    if plain.any():
+        return _with_plain(data, starts, sizes, block, sub, kind, numbers)
     order = np.where(is_lpc, (kind & 0b11111) + 1, kind & 0b111)
     if order.max(initial=0) > ORDER:
-        raise ValueError("FLAC subframe: order not supported")
+        raise Unsupported("FLAC subframe: order not supported")
     warm = np.zeros((ORDER, n), np.int64)
     for j in range(ORDER):
         has = np.flatnonzero(order > j)
@@ -282,14 +310,14 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbe
     if len(l):
         at = sub[l] + lead[l]
         if (_get(bits, at, 4) != PRECISION - 1).any():
-            raise ValueError("FLAC subframe: precision not supported")
+            raise Unsupported("FLAC subframe: precision not supported")
         shift[l] = _get(bits, at + 4, 5, signed=True)
         for j in range(ORDER):
             has = order[l] > j
             coefficients[l[has], j] = _get(bits, at[has] + 9 + PRECISION * j, PRECISION, signed=True)
         lead[l] += 9 + PRECISION * order[l]
     if _get(bits, sub + lead, 2).any():
-        raise ValueError("FLAC residual: coding method not supported")
+        raise Unsupported("FLAC residual: coding method not supported")
     partitions = 1 << _get(bits, sub + lead + 2, 4)
 
     # Rice codes of all frames in lockstep; frames with most residuals first, so that the active ones are a prefix.
@@ -360,6 +388,22 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbe
     return rows.ravel()[csr_take(np.arange(n) * longest, block)], np.concatenate([[0], np.cumsum(block)])
 
 
+def _with_plain(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: np.ndarray, sub: np.ndarray, kind: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`decode_frames` where some frames have constant or verbatim subframes: those are copied, the rest is decoded as ever."""
+    ends = np.cumsum(block)
+    out = np.zeros(int(ends[-1]), np.int16)
+    constant, verbatim, rest = (np.flatnonzero(x) for x in (kind == CONSTANT, kind == VERBATIM, kind > VERBATIM))
+    body = np.where(kind == CONSTANT, 2, 1 + block)
+    if (((sub >> 3) + body + 2 - starts != sizes) & (kind <= VERBATIM)).any():
+        raise ValueError("FLAC subframe: its samples do not fill the frame")
+    first = ends - block
+    out[csr_take(first[constant], block[constant])] = np.repeat(data[(sub[constant] >> 3) + 1].view(np.int8), block[constant])
+    out[csr_take(first[verbatim], block[verbatim])] = data[csr_take((sub[verbatim] >> 3) + 1, block[verbatim])].view(np.int8)
+    if len(rest):
+        out[csr_take(first[rest], block[rest])] = decode_frames(data, starts[rest], sizes[rest], numbers[rest])[0]
+    return out, np.concatenate([[0], ends])
+
+
 def padded(text: str | None) -> tuple[bytes, int]:
     """(payload, bytes of the text): zeros up to a positive multiple of UNIT."""
     data = ("" if text is None else text).encode()
@@ -393,13 +437,23 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
         points["sample"], points["offset"], points["count"] = np.arange(n) * BLOCK, np.cumsum(own) - own, length[first : first + n]
         rate = RATE << 44 | 0 << 41 | 7 << 36 | size
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3) + int(own.max()).to_bytes(3) + rate.to_bytes(8) + hashlib.md5(pcm[at : at + size]).digest()
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3) + info + b"\x83" + (18 * n).to_bytes(3) + points.tobytes() + b"".join(body))
+        points = points[:: -(-n // MOST_POINTS)]
+        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3) + info + b"\x83" + points.nbytes.to_bytes(3) + points.tobytes() + b"".join(body))
         first, at = first + n, at + size
     return out
 
 
 def read_streams(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """(payload, sample offsets of its blocks) of each stream; every checksum is verified."""
+    try:
+        return _read_many(streams)
+    except Unsupported:
+        if len(streams) > 1:
+            return [x for s in streams for x in read_streams([s])]
+        return [flac_plain.read_stream(streams[0])]
+
+
+def _read_many(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     starts, sizes, numbers, sums, points_of, base = [], [], [], [], [], 0
     for s in streams:
         if s[:4] != b"fLaC" or s[4] & 0x7F:
@@ -412,7 +466,10 @@ def read_streams(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
                 points = np.frombuffer(s, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")]), size // 18, at + 4)
             at += 4 + size
         if points is None:
-            raise ValueError("FLAC stream: no seek table")
+            raise Unsupported("FLAC stream: no seek table")
+        shape = int.from_bytes(info[10:18])
+        if shape >> 36 & 0xFF != 7 or points["count"].sum(dtype=np.int64) != shape & (1 << 36) - 1:
+            raise Unsupported("FLAC stream: not 8-bit mono, or a frame without a seek point")
         offset = points["offset"].astype(np.int64) + at
         starts.append(offset + base)
         sizes.append(np.diff(offset, append=len(s)))
@@ -453,6 +510,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_b
     names = [id_col, "n_bytes", "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("flac")
         for b in slices(batches, "_text", batch_bytes):
             payloads, sizes = zip(*map(padded, b.column("_text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(write_streams(list(payloads)), pa.binary())], names=names)
@@ -465,6 +523,7 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", batch_bytes: int = 2 << 20
     names = [id_col, "block", "sample_offset", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("flac")
         for b in slices(batches, "media", batch_bytes):
             ids, blocks, offsets, pcm = [], [], [], []
             for doc, (payload, points) in zip(b.column("_id").to_pylist(), read_streams(b.column("media").to_pylist())):
@@ -478,15 +537,25 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", batch_bytes: int = 2 << 20
     return df.select(F.col(id_col).alias("_id"), "media").mapInArrow(run, f"{id_col} long, block long, sample_offset long, pcm binary")
 
 
+def digests(media: bytes, payload: bytes, points: np.ndarray) -> tuple:
+    """What `media_digests` gives for a stream, from its PCM blocks one after the other."""
+    whole, tail, edges = hashlib.sha256(), b"", [*points.tolist(), len(payload)]
+    for i, j in zip(edges, edges[1:]):
+        whole.update(payload[i:j])
+        tail = (tail + payload[i:j])[-UNIT:]
+    return len(payload), whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), features(payload), edges[:-1]
+
+
 def media_digests(df: DataFrame, id_col: str = "doc_id", batch_bytes: int = 2 << 20) -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, blocks) from the stored bytes."""
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"]
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, block_offsets) from the stored bytes."""
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "block_offsets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("flac")
         for b in slices(batches, "media", batch_bytes):
             media = b.column("media").to_pylist()
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(p), len(points)) for m, (p, points) in zip(media, read_streams(media))]
+            rows = [digests(m, p, points) for m, (p, points) in zip(media, read_streams(media))]
             columns = [pa.array(c) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.int64()), b.column("n_bytes"), *columns], names=names)
 
-    return df.select(F.col(id_col).alias("_id"), "n_bytes", "media").mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long")
+    return df.select(F.col(id_col).alias("_id"), "n_bytes", "media").mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, block_offsets array<long>")

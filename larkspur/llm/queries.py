@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import chat, quality_rules, warc
-from larkspur.llm.common import scratch_dir, table
+from larkspur.llm.common import scratch_dir, table, written
 
 
 def tokenizer(name: str) -> str:
@@ -66,7 +66,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm import flac
 
-    return flac.media_digests(flac.store(table(spark, sf_dir, "documents")))
+    # The media column is written to the shared folder; digests come from the blocks that are read back from there.
+    return flac.media_digests(written(flac.store(table(spark, sf_dir, "documents")), "flac-media"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from larkspur.errors import BindError, ClosedError, EngineError
 from larkspur.sources.engine import Engine, Transaction
 
 PORT = 1099
+#: Characters that values of a type take at most, but for an int's, where the usual ones count.
+_WIDTHS = {"integer": 6, "boolean": 5, "byte": 4, "short": 6, "long": 20, "float": 15, "double": 24, "date": 10, "timestamp": 26, "timestamp_ntz": 26}
 
 
 class MetaData(ABC):
@@ -39,6 +41,10 @@ class ResultSet(ABC):
     @abstractmethod
     def get_string(self, name: str) -> str: ...
 
+    @abstractmethod
+    def get(self, name: str) -> None | bool | int | float | str:
+        """A value of any type: numbers, strings and null as they are, any other as text."""
+
     @abstractmethod
     def metadata(self) -> MetaData: ...
 
@@ -96,7 +102,7 @@ class EmbeddedMetaData(MetaData):
     def column_display_size(self, i: int) -> int:
         """One more than the wider of the name and the values."""
         f = self._field(i)
-        width = 6 if isinstance(f.dataType, T.IntegerType) else self._lengths.get(f.name, 20)
+        width = _WIDTHS.get(f.dataType.typeName()) or self._lengths.get(f.name, 20)
         return max(len(f.name), width) + 1
 
 
@@ -135,9 +141,11 @@ class EmbeddedResultSet(ResultSet):
             raise BindError(f"{name} is not a string")
         return value
 
-    def get(self, name: str):
-        """Value of any type."""
-        return self._value(name)
+    def get(self, name: str) -> None | bool | int | float | str:
+        value = self._value(name)
+        if value is None or isinstance(value, (bool, int, float, str)):
+            return value
+        return bytes(value).hex() if isinstance(value, (bytes, bytearray)) else str(value)
 
     def metadata(self) -> EmbeddedMetaData:
         lengths: dict[str, int] = {}

@@ -14,12 +14,12 @@ def show(connection: Connection, sql: str, out: TextIO) -> None:
     result = connection.create_statement().execute_query(sql)
     meta = result.metadata()
     columns = range(1, meta.column_count() + 1)
-    names, widths, ints = ([f(i) for i in columns] for f in (meta.column_name, meta.column_display_size, lambda i: meta.column_type(i) == "int"))
+    names, widths = ([f(i) for i in columns] for f in (meta.column_name, meta.column_display_size))
     out.write("".join(n.rjust(w) for n, w in zip(names, widths)) + "\n")
     out.write("-" * sum(widths) + "\n")
     while result.next():
-        cells = [str(result.get_int(n)) if i else result.get_string(n) for n, i in zip(names, ints)]
-        out.write("".join(c.rjust(w) for c, w in zip(cells, widths)) + "\n")
+        values = (result.get(n) for n in names)
+        out.write("".join(("null" if v is None else str(v)).rjust(w) for v, w in zip(values, widths)) + "\n")
     result.close()
 
 
@@ -51,7 +51,7 @@ def main(args: list[str]) -> None:
         from larkspur.client.network import Server
         from larkspur.sources.engine import Engine
 
-        folder, port = args[1] if len(args) > 1 else "studentdb", int(args[2]) if len(args) > 2 else PORT
+        folder, port = args[1] if len(args) > 1 else "larkspur-data", int(args[2]) if len(args) > 2 else PORT
         Server(Engine(SparkSession.builder.getOrCreate(), folder), port=port).start().wait()
     else:
         with connect(args[0] if args else input("Connect> ")) as connection:

@@ -37,7 +37,7 @@ class _Session:
                 return self._keep(self.results, self.statements[of].execute_query(*args))
             case "statement.execute_update":
                 return self.statements[of].execute_update(*args)
-            case "result.next" | "result.get_int" | "result.get_string":
+            case "result.next" | "result.get_int" | "result.get_string" | "result.get":
                 return getattr(self.results[of], name.partition(".")[2])(*args)
             case "result.close":
                 return self.results.pop(of).close()
@@ -124,6 +124,9 @@ class NetworkResultSet(ResultSet):
     def get_string(self, name: str) -> str:
         return self._connection.call("result.get_string", self._number, name)
 
+    def get(self, name: str) -> None | bool | int | float | str:
+        return self._connection.call("result.get", self._number, name)
+
     def metadata(self) -> NetworkMetaData:
         return NetworkMetaData(self._connection, self._number)
 

@@ -57,23 +57,23 @@ def after(statements: list[str], query: str, *names: str) -> QueryFn:
     return run
 
 
-def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Row numbers over a total order, so that the sorting itself shows in the rows. The sort is distributed:
-    ranges are numbered by themselves and shifted by the rows of the ranges before. The sorted rows are
-    materialized, so that both uses see the same ranges."""
-    ranged = Relation(df.withColumn("range_", F.spark_partition_id())).materialize().df
-    sizes = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("range_", F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
-    return ranged.join(F.broadcast(before), "range_").withColumn("rn", (F.col("before") + inside).cast("long")).drop("range_", "before")
+def _numbered(sorted_rows: Relation) -> DataFrame:
+    """Row numbers by position: by partition, and by place inside it as the rows come. Nothing is sorted here, so the numbers
+    are right only if the relation is. It is materialized, so that both uses see the same partitions."""
+    place = F.monotonically_increasing_id()
+    placed = Relation(sorted_rows.df.withColumn("place_", place)).materialize().df
+    part, inside = F.shiftright("place_", 33), F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = sizes.select("part_", F.coalesce(F.sum("n").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(before, part == F.col("part_")).withColumn("rn", (F.col("before") + inside + 1).cast("long")).drop("place_", "part_", "before")
 
 
 def sort_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(scan(spark, sf_dir, "orders").project("o_orderkey").sort("o_orderkey").df, "o_orderkey")
+    return _numbered(scan(spark, sf_dir, "orders").project("o_orderkey").sort("o_orderkey"))
 
 
 def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(scan(spark, sf_dir, "orders").project("o_custkey", "o_orderkey").sort("o_custkey", "o_orderkey").df, "o_custkey", "o_orderkey")
+    return _numbered(scan(spark, sf_dir, "orders").project("o_custkey", "o_orderkey").sort("o_custkey", "o_orderkey"))
 
 
 def sort_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,12 @@ def product_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = scratch(spark, sf_dir, "part")
-    engine.execute("create index idx_size on part (p_size)")
-    return engine.scan("part").index_select("p_size", 10).project("p_partkey", "p_name").df
+    """A table of the engine's own with an index: files are ranges of its field, sorted, with bloom filters."""
+    engine = scratch(spark, sf_dir)
+    engine.execute("create table item (key int, size int, name varchar(80))")
+    engine.execute("create index idx_size on item (size)")
+    engine.load("item", read(spark, sf_dir, "part").selectExpr("p_partkey as key", "p_size as size", "p_name as name"))
+    return engine.scan("item").index_select("size", 10).project("key", "name").df.withColumnsRenamed({"key": "p_partkey", "name": "p_name"})
 
 
 def index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +135,10 @@ def group_after_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def materialize_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = scan(spark, sf_dir, "nation").materialize()
-    return nation.join(scan(spark, sf_dir, "customer"), "n_nationkey", "c_nationkey").project("c_name", "n_name").df
+    """One materialized relation is grouped and joined with its groups."""
+    building = scan(spark, sf_dir, "customer").where_equal("c_mktsegment", "BUILDING").project("c_name", "c_nationkey", "c_custkey").materialize()
+    last = Relation(building.group_by(["c_nationkey"], [MaxFn("c_custkey")]).df.withColumnRenamed("c_nationkey", "nation"))
+    return building.join(last, "c_nationkey", "nation").project("c_name", "maxofc_custkey").df
 
 
 def rollback_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +176,10 @@ def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
             tx.execute("insert into student (sid, sname, majorid, gradyear) values ({}, '{}', {}, {})".format(*s))
         for d in ((10, "compsci"), (20, "math"), (30, "drama")):
             tx.execute("insert into dept (did, dname) values ({}, '{}')".format(*d))
+        tx.execute("create table big (k int, v varchar(9))")
+        tx.load("big", spark.range(50_000).selectExpr("cast(id as int) as k", "'v' as v"))
     tx = engine.begin()
-    student, dept = tx.estimate("student"), tx.estimate("dept")
+    student, dept, big = tx.estimate("student"), tx.estimate("dept"), tx.estimate("big")
     major, year = Term(Field("majorid"), Const(10)), Term(Field("gradyear"), Const(2020))
     product = student.product(dept)
     plans = {
@@ -183,6 +190,16 @@ def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "select": student.select((major,)),
         "select_select": student.select((major,)).select((year,)),
         "project": student.select((major,)).select((year,)).project(["sname"]),
+        "big": big,
+        "index_select_btree": big.index_select("k"),
+        "index_select_hash": big.index_select("k", "hash"),
+        "index_join_btree": student.index_join(big, "k"),
+        "index_join_hash": student.index_join(big, "k", "hash"),
+        "materialize": student.product(dept).materialize(),
+        "sort": big.sort(),
+        "block_product": student.block_product(big),
+        "group_by": big.group_by(["k"]),
+        "merge_join": student.merge_join(big, "majorid", "k"),
     }
     return spark.createDataFrame([(n, e.records, e.blocks) for n, e in plans.items()], "plan string, records long, blocks long")
 
@@ -228,7 +245,7 @@ PAIRS: dict[str, tuple[QueryFn, str]] = {
     "group_global": (group_global, "select max(l_partkey) as maxofl_partkey, cast(count(*) as integer) as countofl_partkey from lineitem"),
     "group_global_empty": (group_global_empty, "select max(l_partkey) as maxofl_partkey, cast(count(*) as integer) as countofl_partkey from lineitem where false"),
     "group_after_join": (group_after_join, "select n_name, max(c_custkey) as maxofc_custkey, cast(count(*) as integer) as countofc_custkey from nation, customer where n_nationkey = c_nationkey group by 1"),
-    "materialize_reuse": (materialize_reuse, _JOIN2),
+    "materialize_reuse": (materialize_reuse, "select c_name, maxofc_custkey from customer join (select c_nationkey, max(c_custkey) as maxofc_custkey from customer where c_mktsegment = 'BUILDING' group by 1) using (c_nationkey) where c_mktsegment = 'BUILDING'"),
     "view_simple": (after(["create view v as select n_name, n_regionkey from nation"], "select n_name from v", "nation"), "select n_name from nation"),
     "view_predicate": (after(["create view v as select c_custkey, c_name, c_nationkey from customer where c_mktsegment = 'BUILDING'"], "select c_name from v where c_nationkey = 3", "customer"), "select c_name from customer where c_mktsegment = 'BUILDING' and c_nationkey = 3"),
     "view_nested": (after(["create view v as select n_nationkey, n_name, n_regionkey from nation", "create view w as select n_name, n_nationkey from v where n_regionkey = 1"], "select n_name from w where n_nationkey = 1", "nation"), "select n_name from nation where n_regionkey = 1 and n_nationkey = 1"),
@@ -245,7 +262,7 @@ PAIRS: dict[str, tuple[QueryFn, str]] = {
     "catalog_fields": (catalog("select fldname, type, length, offset from fldcat where tblname = 't1'"), "select * from (values ('a', 4, 0, 4), ('b', 12, 9, 8)) as x(fldname, type, length, \"offset\")"),
     "catalog_views": (catalog("select viewname, viewdef from viewcat"), "select 'v1' as viewname, 'select b from t1 where a = 1' as viewdef"),
     "catalog_indexes": (catalog("select indexname, tablename, fieldname from idxcat"), "select 'i1' as indexname, 't1' as tablename, 'a' as fieldname"),
-    "cost_estimates": (cost_estimates, "select * from (values ('student', 9::bigint, 1::bigint), ('dept', 3, 1), ('product', 27, 10), ('product_select', 6, 10), ('select', 2, 1), ('select_select', 0, 1), ('project', 0, 1)) as x(plan, records, blocks)"),
+    "cost_estimates": (cost_estimates, "select * from (values ('student', 9::bigint, 1::bigint), ('dept', 3, 1), ('product', 27, 10), ('product_select', 6, 10), ('select', 2, 1), ('select_select', 0, 1), ('project', 0, 1), ('big', 50000, 2632), ('index_select_btree', 2, 5), ('index_select_hash', 2, 22), ('index_join_btree', 18, 46), ('index_join_hash', 18, 199), ('materialize', 27, 4), ('sort', 50000, 2632), ('block_product', 450000, 2961), ('group_by', 16667, 2632), ('merge_join', 26, 2633)) as x(plan, records, blocks)"),
 }
 QUERIES: dict[str, QueryFn] = {name: query for name, (query, _) in PAIRS.items()}
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items()}

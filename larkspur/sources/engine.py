@@ -5,23 +5,31 @@ data file: a delete or update finds the files that hold matching rows (the predi
 scan), rewrites only those into new files, and leaves the rest. Inserts are buffered and flushed as
 one file. Nothing of this is seen by others until commit replaces the manifest.
 
-One transaction writes at a time, under a lock file; it fails if somebody committed since it began.
+One transaction writes at a time, under a lock file; it fails if somebody committed since it began. The lock is
+a lease that its writer renews, so a writer that dies holds it for `lease_seconds` at most; what it has left is
+neither in the manifest nor in anybody's way, and `sweep` deletes it. The lock and the manifest need a file system whose
+create and rename are atomic (local, NFS, HDFS); on an object store use one writer.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import threading
 import time
 import uuid
+import weakref
 from dataclasses import replace
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.errors import BindError, CatalogError, ClosedError, TransactionError
 from larkspur.operators.relation import Relation
-from larkspur.plans.binder import Scope, bind, fields_of
+from larkspur.plans.binder import Scope, bind, estimated_bytes, fields_of
 from larkspur.plans.cost import Estimate
 from larkspur.plans.parser import parse_command, parse_query
 from larkspur.plans.syntax import Command, Const, CreateIndex, CreateTable, CreateView, Delete, Field, Insert, Select, Update
@@ -29,17 +37,18 @@ from larkspur.sources.catalog import SYSTEM, IndexDef, Manifest, TableDef, schem
 from larkspur.sources.files import Files
 
 MANIFEST, LOCK = "manifest.json", "writer.lock"
-#: A table of more small insert files than this is rewritten as one file at commit.
+#: A table of more small insert files than this has them rewritten at commit, into files of about FILE_BYTES.
 MOST_INSERT_FILES = 32
+FILE_BYTES = 128 << 20
 
 
 class Engine:
-    """A database folder on any file system that Spark reads."""
+    """A database folder on a file system that Spark reads and whose renames are atomic."""
 
     _in_process = threading.Lock()
 
-    def __init__(self, spark: SparkSession, folder: str, lock_seconds: float = 10.0) -> None:
-        self.spark, self.lock_seconds = spark, lock_seconds
+    def __init__(self, spark: SparkSession, folder: str, lock_seconds: float = 10.0, lease_seconds: float = 60.0, file_bytes: int = FILE_BYTES) -> None:
+        self.spark, self.lock_seconds, self.lease_seconds, self.file_bytes = spark, lock_seconds, lease_seconds, file_bytes
         self.files = Files(spark, folder)
         self.files.make_folder()
         with Engine._in_process:
@@ -69,6 +78,11 @@ class Engine:
     def scan(self, name: str) -> Relation:
         return self.begin().scan(name)
 
+    def load(self, name: str, df: DataFrame) -> None:
+        """Append the rows of a DataFrame to a table."""
+        with self.begin() as tx:
+            tx.load(name, df)
+
     def sweep(self) -> list[str]:
         """Delete data folders that no table refers to (left by crashes); not while others write or read old states."""
         used = {f.rpartition("/")[0].rpartition("/")[2] for t in self.manifest().tables.values() for f in t.files}
@@ -78,17 +92,56 @@ class Engine:
         return orphans
 
     def lock(self) -> str:
+        """The owner's name in the lock file; waits up to `lock_seconds`, and takes over a lease that has run out."""
         owner, until = uuid.uuid4().hex, time.monotonic() + self.lock_seconds
         while True:
             with Engine._in_process:
-                if self.files.create(LOCK, owner):
+                if self.files.create(LOCK, self._lease(owner)):
                     return owner
+                held = self._held()
+                if held is not None and held["until"] < time.time():
+                    # Only one of several that see it moves the file away.
+                    stale = f"{LOCK}.{owner}"
+                    if self.files.move(LOCK, stale):
+                        self.files.delete(stale)
+                    continue
             if time.monotonic() >= until:
                 raise TransactionError("another transaction is writing")
             time.sleep(0.05)
 
-    def unlock(self) -> None:
-        self.files.delete(LOCK)
+    def _lease(self, owner: str) -> str:
+        return json.dumps({"owner": owner, "until": time.time() + self.lease_seconds})
+
+    def _held(self) -> dict | None:
+        """Owner and end of the lease, if there is a lock; one that is being written has not run out."""
+        try:
+            return json.loads(self.files.read(LOCK)) if self.files.exists(LOCK) else None
+        except (ValueError, Py4JError):
+            return None
+
+    def holds(self, owner: str) -> bool:
+        held = self._held()
+        return held is not None and held["owner"] == owner
+
+    def renew(self, owner: str) -> bool:
+        with Engine._in_process:
+            if not self.holds(owner):
+                return False
+            self.files.replace(LOCK, self._lease(owner))
+            return True
+
+    def unlock(self, owner: str) -> None:
+        """Give up a lock, if it still is the owner's."""
+        with Engine._in_process:
+            if self.holds(owner):
+                self.files.delete(LOCK)
+
+
+def _renewing(engine: Engine, owner: str, over: threading.Event, transaction: weakref.ref) -> None:
+    """Keeps a lease alive while its transaction lives."""
+    while not over.wait(engine.lease_seconds / 3):
+        if transaction() is None or not engine.renew(owner):
+            return
 
 
 class Transaction:
@@ -100,7 +153,8 @@ class Transaction:
         self.pending: dict[str, list[tuple]] = {}
         self.inserted: dict[str, int] = {}
         self.written: list[str] = []
-        self.locked = self.over = False
+        self.owner: str | None = None
+        self.over, self._done = False, threading.Event()
 
     def __enter__(self) -> Transaction:
         return self
@@ -217,7 +271,10 @@ class Transaction:
                     small = [f for f in self.state.tables[name].files if "/insert-" in f]
                     if len(small) > MOST_INSERT_FILES:
                         rest = tuple(f for f in self.state.tables[name].files if f not in small)
-                        self._put(name, self._parquet(replace(self.state.tables[name], files=tuple(small))).coalesce(1), rest)
+                        inserted = self._parquet(replace(self.state.tables[name], files=tuple(small)))
+                        self._put(name, inserted.coalesce(self._files_for(inserted)), rest)
+                if self.owner is not None and not self.engine.holds(self.owner):
+                    raise TransactionError("the lease of this transaction has run out and another one has taken over")
                 self.engine.files.replace(MANIFEST, replace(self.state, version=self.base.version + 1).to_json())
                 self.written = []
         finally:
@@ -229,21 +286,22 @@ class Transaction:
 
     def _end(self) -> None:
         self.over = True
+        self._done.set()
         for folder in self.written:
             self.engine.files.delete(folder)
-        if self.locked:
-            self.engine.unlock()
-            self.locked = False
+        if self.owner is not None:
+            self.engine.unlock(self.owner)
+            self.owner = None
 
     def _alive(self) -> None:
         if self.over:
             raise ClosedError("the transaction is over")
 
     def _write_lock(self) -> None:
-        if self.locked:
+        if self.owner is not None:
             return
-        self.engine.lock()
-        self.locked = True
+        self.owner = self.engine.lock()
+        threading.Thread(target=_renewing, args=(self.engine, self.owner, self._done, weakref.ref(self)), daemon=True).start()
         if self.engine.manifest().version != self.base.version:
             self._end()
             raise TransactionError("another transaction has committed since this one began")
@@ -285,11 +343,34 @@ class Transaction:
             definition = self.state.tables[name]
             self._put(name, self.spark.createDataFrame(rows, definition.struct).coalesce(1), definition.files, "insert")
 
+    def load(self, name: str, df: DataFrame) -> None:
+        """Append the rows of a DataFrame that has the table's columns; lengths of varchars are enforced."""
+        self._alive()
+        self._write_lock()
+        definition = self._known(name)
+        self._flush(name)
+        columns = []
+        for f in definition.struct.fields:
+            value, length = F.col(f"`{Scope.of(df).lookup(f.name)[0]}`").cast(f.dataType), definition.lengths.get(f.name)
+            if length is not None:
+                value = F.when(F.octet_length(value) > length, F.raise_error(F.lit(f"value for {f.name} is longer than varchar({length})"))).otherwise(value)
+            columns.append(value.alias(f.name))
+        self._put(name, df.select(*columns), definition.files)
+
+    def _files_for(self, df: DataFrame) -> int:
+        return max(1, math.ceil(estimated_bytes(df) / self.engine.file_bytes))
+
     def _put(self, name: str, df: DataFrame, rest: tuple[str, ...], kind: str = "write") -> None:
-        """Write rows into new files of the table, beside the files `rest`."""
+        """Write rows into new files of the table, beside the files `rest`.
+
+        Where the table has indexes, files are ranges of the first one's field and sorted by all, so that a lookup
+        skips whole files and row groups by their statistics and bloom filters.
+        """
         folder = f"data/{kind}-{uuid.uuid4().hex}"
         self.written.append(folder)
         indexed = sorted(self.indexes_of(name))
+        if indexed and kind != "insert":
+            df = df.repartitionByRange(self._files_for(df), indexed[0])
         writer = (df.sortWithinPartitions(*indexed) if indexed else df).write
         for f in indexed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{f}", "true")
@@ -321,8 +402,9 @@ class Transaction:
         touched = {r[0]: r[1] for r in df.filter(matches).groupBy(F.col("_metadata.file_path")).count().collect()}
         if not touched:
             return 0
+        # Paths in the metadata column are percent-encoded, names of files are not.
         by_path = {f.partition(":")[2].lstrip("/"): f for f in definition.files}
-        hit = tuple(by_path[p.partition(":")[2].lstrip("/")] for p in touched)
+        hit = tuple(by_path[unquote(p.partition(":")[2].lstrip("/"))] for p in touched)
         rest = tuple(f for f in definition.files if f not in set(hit))
         old = self._parquet(replace(definition, files=hit))
         if update is None:

@@ -52,9 +52,13 @@ class Files:
         """Write `name` only if it does not exist; whether it was written."""
         if not self._fs.createNewFile(self._path(self.at(name))):
             return False
-        self._write(name, text)
+        self.replace(name, text)
         return True
 
+    def move(self, name: str, to: str) -> bool:
+        """Rename a file; whether it was this call that did."""
+        return self._fs.exists(self._path(self.at(name))) and self._fs.rename(self._path(self.at(name)), self._path(self.at(to)))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.at(name)), True)
 

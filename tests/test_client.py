@@ -74,3 +74,27 @@ def test_command_line(spark, folder):
     text = out.getvalue()
     assert "      sname gradyear\n--------------------\n        joe     2021\n" in text
     assert "error: unknown column nope" in text and "1 records processed" in text and "reached" not in text
+
+
+def test_values_of_all_types(spark, tmp_path):
+    path = str(tmp_path / "x")
+    spark.sql("select 9007199254740993L as l, 1.5D as d, timestamp'2020-01-02 03:04:05' as t, date'2020-01-02' as day, cast(null as string) as s, 12.30BD as n, true as b, x'00ff' as raw").write.parquet(path)
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.attach("x", path)
+    expected = {"l": 9007199254740993, "d": 1.5, "t": "2020-01-02 03:04:05", "day": "2020-01-02", "s": None, "n": "12.30", "b": True, "raw": "00ff"}
+    query = "select l, d, t, day, s, n, b, raw from x"
+    server = Server(engine, port=0).start()
+    for url in (f"larkspur:{tmp_path / 'db'}", f"larkspur://localhost:{server.port}"):
+        with connect(url, spark) as connection:
+            result = connection.create_statement().execute_query(query)
+            assert result.next() and {n: result.get(n) for n in expected} == expected
+            with pytest.raises(BindError):
+                result.get_int("d")
+            with pytest.raises(BindError):
+                result.get_string("s")
+            result.close()
+            out = io.StringIO()
+            run(connection, io.StringIO(query + "\nexit\n"), out)
+            line = out.getvalue().splitlines()[2]
+            assert line.split() == ["9007199254740993", "1.5", "2020-01-02", "03:04:05", "2020-01-02", "null", "12.30", "True", "00ff"]
+    server.close()

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from larkspur.errors import BindError, CatalogError, ClosedError, SyntaxProblem, TransactionError
@@ -203,3 +205,69 @@ def test_attached_files_are_never_changed(engine, spark, tmp_path):
     assert engine.execute("insert into given (k, v) values (7, 'seven')") == 1
     assert rows(engine.query("select k, v from given")) == [(2, "b"), (7, "seven")]
     assert spark.read.parquet(path).count() == 2
+
+
+def test_paths_with_blanks_and_percent_signs(spark, tmp_path):
+    engine = fill(Engine(spark, str(tmp_path / "a b%20c"), lock_seconds=0.3))
+    assert engine.execute("delete from student where majorid = 30") == 2
+    assert engine.execute("update student set gradyear = 1 where sid = 1") == 1
+    assert engine.query("select sid from student").count() == 7
+
+
+def test_a_dead_writer_holds_its_lease_only(spark, tmp_path):
+    engine = fill(Engine(spark, str(tmp_path / "db"), lock_seconds=0.2, lease_seconds=1.0))
+    dead = engine.begin()
+    dead.execute("insert into dept (did, dname) values (40, 'lost')")
+    dead.query("select did from dept").count()  # flushed, so that files are left
+    dead._done.set()  # it renews no more, as if its process had ended
+    with pytest.raises(TransactionError):
+        engine.execute("delete from dept where did = 10")
+    time.sleep(1.1)
+    assert engine.execute("delete from dept where did = 10") == 1
+    with pytest.raises(TransactionError):
+        dead.commit()
+    assert rows(engine.query("select did from dept")) == [(20,), (30,)]
+    assert engine.execute("delete from dept where did = 20") == 1  # the dead one has not taken anybody's lock away
+
+
+def test_a_living_writer_keeps_its_lease(spark, tmp_path):
+    engine = fill(Engine(spark, str(tmp_path / "db"), lock_seconds=0.2, lease_seconds=0.6))
+    with engine.begin() as tx:
+        tx.execute("insert into dept (did, dname) values (40, 'kept')")
+        time.sleep(1.5)
+        with pytest.raises(TransactionError):
+            engine.execute("delete from dept where did = 10")
+    assert engine.query("select did from dept").count() == 4
+
+
+def test_dates_compare_with_strings(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.sql("select date'2020-01-02' as d, timestamp'2020-01-02 03:04:05' as t, 5 as n union all select null, null, 6").write.parquet(path)
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.attach("x", path)
+    assert rows(engine.query("select n from x where d = '2020-01-02'")) == [(5,)]
+    assert rows(engine.query("select n from x where t = '2020-01-02 03:04:05'")) == [(5,)]
+    for never in ("d = 'no date'", "d = 5", "n = '5'"):
+        assert engine.query(f"select n from x where {never}").count() == 0
+
+
+def test_index_lookups_skip_files(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), file_bytes=2000)
+    engine.execute("create table big (k int, v varchar(20))")
+    engine.execute("create index by_k on big (k)")
+    with pytest.raises(Exception):
+        engine.load("big", spark.sql("select 1 as k, repeat('x', 21) as v"))
+    engine.load("big", spark.range(20_000).selectExpr("cast(id * 7919 % 5000 as int) as k", "concat('v', id) as v"))
+    assert len(engine.manifest().tables["big"].files) > 10
+    found = engine.scan("big").index_select("k", 77).df
+    assert found.count() == 4
+
+    def read(df):
+        df.collect()
+        executed = df._jdf.queryExecution().executedPlan()
+        leaf = (executed.executedPlan() if "Adaptive" in executed.nodeName() else executed).collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+    assert read(found) < 20_000 / 5 < read(engine.scan("big").df)
+    assert engine.execute("delete from big where k = 77") == 4

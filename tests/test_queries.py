@@ -57,12 +57,21 @@ def test_join_order_of_cycles():
     size = [10, 1000, 100, 500].__getitem__
     tree = [(0, 1), (1, 3), (3, 2)]
     assert join_order(4, tree, size) == [0, 1, 3, 2]
-    assert join_order(4, [(2, 3)], size) == [0, 1, 2, 3]
+    assert join_order(4, [(2, 3)], size) == [0, 2, 3, 1]
+    assert join_order(4, [(1, 3), (3, 2), (2, 0)], size) == [0, 2, 3, 1]
+    assert join_order(2, [(1, 0)], size) == [0, 1]
     assert join_order(4, [*tree, (3, 1)], size) == [0, 1, 3, 2]  # two equalities between the same tables
     assert join_order(4, [*tree, (0, 2)], size) == [1, 3, 2, 0]
     assert join_order(1, [], size) == [0]
 
 
+@needs_data
+def test_filtered_tables_come_before_the_fact_table(spark):
+    text = PAIRS["join_four_fact"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [c for line in text.splitlines() for c in ("n_name", "c_name", "o_custkey", "l_linenumber") if "Relation" in line and c in line]
+    assert scans == ["n_name", "c_name", "o_custkey", "l_linenumber"]  # from the innermost join outwards
+
+
 @needs_data
 def test_cyclic_joins_start_at_the_fact_table(spark):
     df = PAIRS["join_multi_key"][0](spark, SF)
@@ -71,6 +80,21 @@ def test_cyclic_joins_start_at_the_fact_table(spark):
     assert "s_nationkey" in joins[0] and "s_suppkey" in joins[0]  # the outermost join has both of its equalities
 
 
+@needs_data
+def test_a_materialized_relation_is_read_twice(spark):
+    text = plan(PAIRS["materialize_reuse"][0](spark, SF))
+    assert text.count("InMemoryTableScan") == 2 and text.count("FileScan parquet") <= 2  # the one scan of the cache is shown for each
+
+
+def test_numbers_by_position_show_a_missing_sort(spark):
+    from larkspur.queries import _numbered
+
+    shuffled = Relation(spark.range(1000).repartition(4).withColumnRenamed("id", "k"))
+    right = lambda r: all(x.k + 1 == x.rn for x in _numbered(r).collect())
+    assert right(shuffled.sort("k"))
+    assert not right(Relation(shuffled.df.repartitionByRange(4, "k"))) and not right(shuffled)
+
+
 @needs_data
 def test_hints_pick_the_operator(spark):
     assert "SortMergeJoin" in plan(PAIRS["merge_join_1n"][0](spark, SF))

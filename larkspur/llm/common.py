@@ -62,13 +62,16 @@ def unused(df: DataFrame, name: str) -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors (`spark.checkpoint.dir`).
 
-    Only where the session names none (local tests) a temporary folder is set for it.
+    Only where the session names none and runs on this machine alone (local tests) a temporary folder is set for it;
+    on a cluster that would be another folder on each executor, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(folder)
         return folder
@@ -77,8 +80,40 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/larkspur-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new name for a table in the shared folder, under one folder for each application."""
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for folder in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that were not written elsewhere can no longer be read."""
+    discard(spark, _application_folder(spark))
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted together, once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, label))
+        return _written(df, self.paths[-1])
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -88,12 +123,14 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet into the shared scratch folder and read it again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, label))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import claim_worker, slices, unused, written
+from larkspur.llm.common import Scratch, claim_worker, scratch_dir, slices, unused
 
 PAIRS, SOURCES, LANGS = 64, 64, 16
 STYLE = 16
@@ -255,26 +255,30 @@ def chooser(pool: DataFrame):
     return choose
 
 
-def _once(features: DataFrame) -> DataFrame:
+def _once(features: DataFrame, scratch: Scratch) -> DataFrame:
     """Each id's least feature row."""
     ids = features.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id").checkpoint()
     if ids.isEmpty():
         return features
     least = features.join(ids, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("text", "meta")).alias("f")).select("_id", "f.*")
-    return written(features.join(ids, "_id", "left_anti").unionByName(least), "cotraining-once")
+    return scratch.written(features.join(ids, "_id", "left_anti").unionByName(least), "cotraining-once")
 
 
 def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rounds: int = 5, per_round: int = 1000, confidence: float = 0.95, id_col: str = "doc_id", label_col: str = "quality", batch_bytes: int = 1 << 20) -> Model:
     """Fit on a bounded sample of the labelled and on all unlabelled documents (`labels` has id and 0/1 label)."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    features = _once(written(_featured(_inputs(documents, id_col).where("_id is not null"), batch_bytes), "cotraining-features"))
+    scratch_dir(documents.sparkSession)
+    scratch = Scratch(documents.sparkSession)
+    features = _once(scratch.written(_featured(_inputs(documents, id_col).where("_id is not null"), batch_bytes), "cotraining-features"), scratch)
     # At most most_labelled ids, so the broadcast is bounded.
     picked = F.broadcast(features.select("_id").join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most_labelled))
     rows = features.join(picked, "_id").select("_id", "text", "meta", "y").toArrow().sort_by("_id")
     y = rows.column("y").to_numpy()
     hold = np.array([zlib.crc32(b"hold%d" % i) % 4 == 0 for i in rows.column("_id").to_pylist()], bool)
-    pool = written(features.join(known.select("_id"), "_id", "left_anti"), "cotraining-pool")
-    return fit_views(_matrix(rows, "text"), _matrix(rows, "meta"), y, hold, chooser(pool), rounds, per_round, confidence)
+    pool = scratch.written(features.join(known.select("_id"), "_id", "left_anti"), "cotraining-pool")
+    model = fit_views(_matrix(rows, "text"), _matrix(rows, "meta"), y, hold, chooser(pool), rounds, per_round, confidence)
+    scratch.clear()
+    return model
 
 
 def _judged(b: pa.RecordBatch, model: Model, prefix: str = "_") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

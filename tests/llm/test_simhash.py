@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from larkspur.llm import simhash, simhash_similar
+from larkspur.llm.common import Scratch
 from tests.llm.fixtures import documents, lower, ordered, rows, words
 
 
@@ -148,7 +149,7 @@ def test_passages_that_all_share_do_not_gather_documents(spark):
     df = documents(spark, given)
     sets = simhash_similar._of_classes(df, simhash_similar._marked(df, 0.8, 5, "doc_id", "text", 1 << 20), 5, "doc_id", "text", 1 << 20, "id long, shingles array<long>", simhash_similar._whole)
     sized = sets.selectExpr("id", "shingles", "size(shingles) as size").selectExpr("*", "cast(size - ceil(0.8 * size) + 1 as bigint) as need")
-    assert simhash_similar._clusters(sized).isEmpty()
+    assert simhash_similar._clusters(sized, Scratch(spark)).isEmpty()
     assert all(x.id == x.component for x in simhash_similar.groups(df).collect())
 
 

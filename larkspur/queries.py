@@ -40,6 +40,8 @@ def dialect(sql: str) -> QueryFn:
 def scratch(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
     """A fresh database with the driver's tables attached, in the shared folder if the session names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = f"{shared.rstrip('/')}/db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="larkspur-db-")
     return database(spark, folder, {n: f"{sf_dir}/{n}.parquet" for n in names})
 

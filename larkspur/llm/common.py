@@ -123,8 +123,16 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Executors keep a finished query's shuffle files until the driver's JVM has collected what refers to them, which
+    without memory pressure takes half an hour; this asks for it now, so that disk holds the exchanges of one query, not of all."""
+    gc.collect()  # Python's handles first
+    spark._jvm.System.gc()
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
+    release_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

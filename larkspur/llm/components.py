@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import release_shuffles
+
 #: A node with more links than this, and than one in HUBS of all links, is a hub. There are at most 2 * HUBS of them.
 HUB_LINKS, HUBS = 1000, 50_000
 
@@ -42,6 +44,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = _star(edges, True, seen[0]).checkpoint()
         edges = _star(edges, False, seen[0]).checkpoint()
         before, seen = seen, state()
+        release_shuffles(links.sparkSession)
         if before == seen:
             break
     else:

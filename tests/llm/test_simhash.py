@@ -132,6 +132,12 @@ def test_short_pairs_at_the_threshold_are_found_and_no_others(spark):
     assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given)).collect()} == expected
 
 
+def test_texts_meet_classes_alike_with_and_without_a_broadcast(spark, monkeypatch):
+    given = short_pairs(2)
+    monkeypatch.setattr(simhash_similar, "MOST_BROADCAST", 0)
+    assert {x.id: x.component for x in simhash_similar.groups(documents(spark, given)).collect()} == exact_components(given)
+
+
 def test_clusters_in_chunks_give_the_same_components(spark):
     """A family of near copies of which some link to few others, in chunks far smaller than itself."""
     given = short_pairs(3) + near_copies(150, 100, 6)

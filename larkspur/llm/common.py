@@ -130,8 +130,27 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here remove their shuffle files as they end. Collection alone leaves those of a
+    query whose DataFrame is still referred to."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+    with _own_shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     release_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from larkspur.llm import ngram_lm
+from larkspur.llm.common import _CLEANUP, written
 from tests.llm.fixtures import documents, key, lower, rows, words
 
 
@@ -104,3 +105,21 @@ def test_bigram_context_beats_the_base_on_held_out_texts(spark):
 
 def test_empty_table(spark):
     assert ngram_lm.score(documents(spark).where("false")).count() == 0
+
+
+def test_asking_leaves_no_shuffle_files(spark, monkeypatch):
+    """When the table of counts is written, the exchange of requests is off the disk before texts and answers are shuffled."""
+    registered = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    option, seen = spark.conf.get(_CLEANUP, None), []
+
+    def watched(df, label):
+        before = registered()
+        told = written(df, label)
+        seen.append((label, registered() - before, spark.conf.get(_CLEANUP, None)))
+        return told
+
+    monkeypatch.setattr(ngram_lm, "written", watched)
+    assert ngram_lm.score(documents(spark)).count() == len(rows())
+    assert [x[0] for x in seen] == ["lm-blocks", "lm-counts"]
+    assert max(x[1] for x in seen) <= 0, seen
+    assert {x[2] for x in seen} == {option}, (seen, option)

@@ -1,17 +1,19 @@
-"""Near-duplicates by Jaccard similarity of shingle sets, exactly: pigeonhole blocks, joins on blocks, verification.
+"""Near-duplicates by SimHash, with an exact check of what it finds and an exact way to what it cannot find.
 
-SimHash bits cannot decide a similarity of 0.8: two sets at the threshold differ in some 15 % of their bits,
-so no guaranteed split of the bits leaves a block that selects anything. The three steps of the block method
-are kept, on the sets themselves. A set's fingerprint is its characteristic vector over all shingles; sets of
+Equal shingle sets are one class. Each class has a 64-bit SimHash fingerprint of its set; fingerprints are split into blocks,
+joined on blocks, and linked where their Hamming distance is small (`simhash.close_pairs`). What is linked that way is a
+component, and inside it the classes' sets are compared: those with a Jaccard similarity of the threshold or more are near-duplicates.
+
+Two sets at a similarity of 0.8 differ in some 15 % of their bits, so no guaranteed split of the bits leaves a block
+that selects anything: the fingerprints find the close pairs, not all. The rest is found on the sets themselves. Sets of
 n shingles and similarity s or more have at least s n in common, so of any n - ceil(s n) + 1 shingles of one
 the other has at least one (pigeonhole). Those shingles, the rarest first in one order for all sets, are the
-blocks. Sets that share a block are gathered into clusters, and inside a cluster the symmetric difference of
-the vectors (their Hamming distance) is counted, which with the sizes gives the similarity. No true pair is lost and
-none is accepted wrongly; nothing depends on the number of documents.
+blocks; sets that share one are gathered into clusters and compared, but for pairs that SimHash has put together already.
+So no true pair is lost and none is accepted wrongly; nothing depends on the number of documents.
 
-Equal sets are one class before anything else. A third of all shingles (by hash) are then counted, combined in
-the map tasks: a class with as many shingles of its own there as it has blocks can have no partner and is done.
-That settles all but classes whose text is mostly shared, and only those go on.
+A third of all shingles (by hash) are counted first, combined in the map tasks: a class with as many shingles of its own
+there as it has blocks can have no partner. That settles all but classes whose text is mostly shared, and only the
+sets of those are compared, in either step.
 
 A cluster's sets are compared in chunks of bounded size, each with a few pivots that all chunks share, so the rows
 are linear in the cluster; a family of near copies becomes one component in this step. Only what is not yet in
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, claim_worker, csr_take, scratch_dir, slices, written
 from larkspur.llm.components import connected_components
-from larkspur.llm.simhash import shingle_hashes
+from larkspur.llm.simhash import close_pairs, majority, shingle_hashes
 
 PIVOTS = 16
 #: Classes (an id and a digest each, some 64 bytes in a hash table) are sent to all executors up to this number; beyond it texts are shuffled to them.
@@ -60,16 +62,16 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _marked(df: DataFrame, similarity: float, width: int, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
-    """(id, size, need, digest): size of each document's set, how many blocks it needs, and what tells it from other sets."""
+    """(id, size, need, digest, fp): size of each document's set, how many blocks it needs, what tells it from other sets, and its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("simhash")
         for b in slices(batches, "_text", batch_bytes):
             sets = _sets(b.column("_text").to_pylist(), width)
             sizes = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array([blocks_of(n, similarity) for n in sizes], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["id", "size", "need", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array([blocks_of(n, similarity) for n in sizes], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(majority(np.concatenate(sets), np.array(sizes, np.int64)).view(np.int64))], names=["id", "size", "need", "digest", "fp"])
 
-    return _texts(df, id_col, text_col).mapInArrow(run, "id long, size long, need long, digest binary")
+    return _texts(df, id_col, text_col).mapInArrow(run, "id long, size long, need long, digest binary, fp long")
 
 
 def _of_classes(df: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str, batch_bytes: int, schema: str, rows) -> DataFrame:
@@ -131,7 +133,7 @@ def merges(ids: np.ndarray, labels: np.ndarray, probes: np.ndarray, sets: list[n
     return links
 
 
-def _compared(dealt: DataFrame, sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+def _linked(dealt: DataFrame, sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     """Links within each group of `dealt` (keys, id, label, probe)."""
 
     def compare(group: pa.Table) -> pa.Table:
@@ -146,6 +148,19 @@ def _compared(dealt: DataFrame, sets: DataFrame, keys: list[str], similarity: fl
     return dealt.join(sets, "id").select("id", "label", "probe", "shingles", *keys).groupBy(*keys).applyInArrow(compare, "a long, b long")
 
 
+def _compared(dealt: DataFrame, sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Links that shared shingles lead to."""
+    return _linked(dealt, sets, keys, similarity)
+
+
+def hamming_clusters(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component): classes (id, fp) with others of the same fingerprint or within its Hamming distance, directly or through others."""
+    fps = scratch.written(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "similar-fingerprints")
+    lowest = connected_components(close_pairs(fps.select("fp")).withColumnsRenamed({"fp_a": "a", "fp_b": "b"}))
+    together = fps.join(lowest, fps["fp"] == lowest["node"], "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "fp").alias("component"))
+    return classes.join(together, "fp").select("id", "component")
+
+
 def _clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): classes (id, size, need, shingles) that share blocks, directly or through others."""
     rows = sets.select("id", F.explode("shingles").alias("s"))
@@ -160,26 +175,46 @@ def _clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return connected_components(cells.join(hubs, "s").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "id")
 
 
-def exact_links(sets: DataFrame, clusters: DataFrame, similarity: float, scratch: Scratch, most: int = 1024, most_shingles: int = 1 << 20) -> DataFrame:
-    """Links (a, b) that join all that pairs of `sets` (id, size, shingles) at or over `similarity` inside a cluster (id, component) join.
-
-    A chunk has about `most` sets or `most_shingles` shingles.
-    """
-    enough = lambda n, size: F.ceil(F.greatest(n / most, size / most_shingles)).cast("int")
-    chunk = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
+def _in_chunks(clusters: DataFrame, sets: DataFrame, scratch: Scratch, enough) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members of the clusters with their sizes, clusters of several chunks, members and pivots dealt to chunks)."""
     members = scratch.written(clusters.join(sets.groupBy("id").agg(F.first("size").alias("size")), "id"), "similar-members")
     pivots = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(PIVOTS)]))
-    clustered = scratch.written(members.groupBy("component").agg(enough(F.count(F.lit(1)), F.sum("size")).alias("chunks"), pivots.alias("pivots")), "similar-sizes")
-    own = members.join(clustered, "component").select("component", "id", chunk("id", F.col("chunks")).alias("chunk"))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), enough(F.count(F.lit(1)), F.sum("size")).alias("chunks"), pivots.alias("pivots"))
+    clustered = scratch.written(sizes.where("n > 1").drop("n"), "similar-sizes")
+    own = members.join(clustered, "component").select("component", "id", _chunk("id", F.col("chunks")).alias("chunk"))
     large = clustered.where("chunks > 1")
     everywhere = large.select("component", "pivots", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("component", F.explode("pivots").alias("id"), "chunk")
-    dealt = own.unionByName(everywhere).withColumns({"label": F.col("id"), "probe": F.lit(True)})
-    links = scratch.written(_compared(scratch.written(dealt, "similar-dealt"), sets, ["component", "chunk"], similarity), "similar-links")
+    return members, large, own.unionByName(everywhere).withColumn("probe", F.lit(True))
+
+
+def _chunk(column: str, n):
+    return F.pmod(F.xxhash64(column), n).cast("int")
+
+
+def _enough(most: int, most_shingles: int):
+    return lambda n, size: F.ceil(F.greatest(n / most, size / most_shingles)).cast("int")
+
+
+def checked_links(sets: DataFrame, clusters: DataFrame, similarity: float, scratch: Scratch, most: int = 1024, most_shingles: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between `sets` (id, size, shingles) at or over `similarity` in one chunk of a cluster (id, component); pivots are in all its chunks."""
+    dealt = _in_chunks(clusters, sets, scratch, _enough(most, most_shingles))[2].withColumn("label", F.col("id"))
+    return scratch.written(_linked(scratch.written(dealt, "similar-near"), sets, ["component", "chunk"], similarity), "similar-checked")
+
+
+def exact_links(sets: DataFrame, clusters: DataFrame, known: DataFrame, similarity: float, scratch: Scratch, most: int = 1024, most_shingles: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that with those `known` join all that pairs of `sets` (id, size, shingles) at or over `similarity` inside a cluster (id, component) join.
+
+    A chunk has about `most` sets or `most_shingles` shingles.
+    """
+    enough, chunk = _enough(most, most_shingles), _chunk
+    labelled = lambda df, links: df.join(connected_components(links).withColumnsRenamed({"node": "id", "component": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members, large, dealt = _in_chunks(clusters, sets, scratch, enough)
+    links = known.unionByName(scratch.written(_compared(scratch.written(labelled(dealt, known), "similar-dealt"), sets, ["component", "chunk"], similarity), "similar-links"))
     if large.isEmpty():
         return links
 
     # What is not in its cluster's largest component meets the other chunks.
-    labels = members.join(large.select("component", "chunks"), "component").join(connected_components(links).withColumnsRenamed({"node": "id", "component": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labels = labelled(members.join(large.select("component", "chunks"), "component"), links)
     labels = scratch.written(labels, "similar-labels")
     parts = labels.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     split = parts.groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size"))["size"].alias("size_main")).where("n > n_main")
@@ -198,7 +233,7 @@ def groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str =
     scratch_dir(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     marked = written(_marked(df, similarity, width, id_col, text_col, batch_bytes), "similar-marked")
-    classes = written(marked.groupBy("digest").agg(F.min(F.struct("id", "size", "need")).alias("c")).select("c.*", "digest"), "similar-classes")
+    classes = written(marked.groupBy("digest").agg(F.min(F.struct("id", "size", "need", "fp")).alias("c")).select("c.*", "digest"), "similar-classes")
     members = marked.join(classes.select("digest", F.col("id").alias("first")), "digest").select("id", "first")
     single = classes.where("size > 0").dropDuplicates(["id"])
     # Written, so that its size is known when the texts are joined with it.
@@ -209,8 +244,10 @@ def groups(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str =
     alone = alone.join(marked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "id", "left_anti")
     still = scratch.written(single.join(alone, "id", "left").where(F.coalesce("alone", F.lit(0)) < F.col("need")).select("id", "size", "need", "digest"), "similar-open")
     sets = scratch.written(_of_classes(df, still, width, id_col, text_col, batch_bytes, "id long, shingles array<long>", _whole).join(still.select("id", "size", "need"), "id"), "similar-sets")
+    near = hamming_clusters(single.select("id", "fp"), scratch).join(still.select("id"), "id", "left_semi")
+    near = checked_links(sets, near, similarity, scratch, most)
     # An id that comes with several texts links their classes.
-    links = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(exact_links(sets, _clusters(sets, scratch), similarity, scratch, most))
+    links = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(exact_links(sets, _clusters(sets, scratch), near, similarity, scratch, most))
     lowest = connected_components(links)
     scratch.clear()  # components are checkpointed
     return members.select("id").distinct().join(lowest, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))

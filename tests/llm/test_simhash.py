@@ -206,3 +206,28 @@ def test_hubs_of_components(spark):
         components.HUB_LINKS, components.HUBS = limits
     assert plain[5000] == 0 and plain[6040] == 6000
     assert components.connected_components(df.where("false")).count() == 0
+
+
+def test_stage_links_by_blocks_and_hamming_distance_first(spark, monkeypatch):
+    """Near copies come from fingerprints, joins on blocks and the Hamming distance; what differs in more bits is found after it, and nothing twice."""
+    r = random.Random(11)
+    base = [f"v{i}" for i in range(120)]
+    given = [(i, " ".join([*base[:-1], f"t{i}"]), "en", "s", 1) for i in range(30)] + short_pairs(2)
+    given = [(d + (0 if k < 30 else 1000), *x) for k, (d, *x) in enumerate(given)]
+    r.shuffle(given)
+    df, seen = documents(spark, given), {}
+    for name in ("close_pairs", "checked_links", "_compared"):
+        own = getattr(simhash_similar, name)
+        monkeypatch.setattr(simhash_similar, name, lambda *a, _own=own, _name=name, **k: seen.setdefault(_name, _own(*a, **k).checkpoint()))
+    got = {x.id: x.component for x in simhash_similar.groups(df).collect()}
+    assert got == exact_components(given)
+    prints = {x.id: x.fp & (1 << 64) - 1 for x in simhash_similar._marked(df, 0.8, 5, "doc_id", "text", 1 << 20).collect()}
+    for d, t, *_ in given:
+        own = set(simhash.shingle_hashes(t, 5, 42))
+        assert prints[d] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+    pairs = seen["close_pairs"].collect()
+    assert pairs and all(((x.fp_a ^ x.fp_b) & (1 << 64) - 1).bit_count() <= 2 for x in pairs)
+    near = {(x.a, x.b) for x in seen["checked_links"].collect()}
+    after = {(x.a, x.b) for x in seen["_compared"].collect()}
+    assert len([x for x in near if max(x) < 30]) > 10 and any(max(x) >= 1000 for x in after)
+    assert not {frozenset(x) for x in near} & {frozenset(x) for x in after}
